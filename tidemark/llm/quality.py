@@ -13,6 +13,8 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 14
 #: Labelled target rows that the trusted multinomial is fitted on, at most (those with the smallest hash of their id).
 TARGET_ROWS = 20_000
+#: Pseudo-counts of every bucket in both multinomials, the corpus one scaled to the target's total: rare n-grams say little.
+PRIOR = 50.0
 #: Mean log-likelihood ratio of an n-gram below which a document goes.
 THRESHOLD = -0.05
 
@@ -57,7 +59,7 @@ def base_rules(docs: DataFrame, ratios=None) -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row with r, an array of log(P(bucket | target) / P(bucket | corpus)), both smoothed by one.
+    """One row with r, an array of log(P(bucket | target) / P(bucket | corpus)), both with PRIOR pseudo-counts a bucket.
 
     trusted: doc_id of target documents, of which target_rows are used. The corpus counts take every document. Each task
     counts into BUCKETS rows at most before the shuffle, so a hot source or word moves no more than any other.
@@ -70,7 +72,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, target_rows: int = TARGET_ROWS)
     counts = grams.groupBy("g").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
     dense = spark.range(0, BUCKETS, 1, 1).join(F.broadcast(counts), F.col("id") == F.col("g"), "left").select("id", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("n", F.lit(0)).alias("n"))
     both = dense.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"), F.sort_array(F.collect_list(F.struct("id", "t", "n"))).alias("x"))
-    return both.select(F.expr(f"if(all_t = 0, transform(x, y -> 0D), transform(x, y -> ln((y.t + 1D) / (all_t + {BUCKETS})) - ln((y.n + 1D) / (all_n + {BUCKETS}))))").alias("r"))
+    return both.select(F.expr(f"if(all_t = 0, transform(x, y -> 0D), transform(x, y -> ln((y.t + {PRIOR}D) / (y.n * (all_t / all_n) + {PRIOR}D))))").alias("r"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
