@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_documents, public_path
 from tidemark.llm.common import documents
 from tidemark.llm.media import text_media
+from tidemark.llm.packing import best_fit
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import secret_scan
 
@@ -15,14 +17,22 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(documents(spark, sf_dir), public_path("word_bpe_49k.json"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("quality") == 1).select("doc_id")
     return quality_rules(documents(spark, sf_dir), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_secrets, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op9_quality)}
 ORACLES: dict[str, str] = {}
