@@ -9,8 +9,10 @@ from tidemark.llm.bpe import encode_documents, public_path
 from tidemark.llm.common import documents
 from tidemark.llm.media import text_media
 from tidemark.llm.packing import best_fit
+from tidemark.llm.pii import personal_data
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.toxicity import toxicity
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +31,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("quality") == 1).select("doc_id")
     return quality_rules(documents(spark, sf_dir), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op7_pii, op8_toxicity, op9_quality)}
 ORACLES: dict[str, str] = {}
