@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_documents, public_path
 from tidemark.llm.common import documents
+from tidemark.llm.html import main_text
 from tidemark.llm.media import text_media
 from tidemark.llm.packing import best_fit
 from tidemark.llm.pii import personal_data
@@ -44,5 +45,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op7_pii, op8_toxicity, op9_quality)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
