@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_documents, public_path
 from tidemark.llm.common import documents
 from tidemark.llm.html import main_text
+from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.media import text_media
 from tidemark.llm.packing import best_fit
 from tidemark.llm.pii import personal_data
@@ -28,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), public_path("byte_bpe_50k.json"))
 
@@ -49,5 +54,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op5_jaccard, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
