@@ -14,6 +14,7 @@ from tidemark.llm.packing import best_fit
 from tidemark.llm.pii import personal_data
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.suffixes import remove_repeats
 from tidemark.llm.toxicity import toxicity
 
 
@@ -21,6 +22,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), public_path("word_bpe_49k.json"))
 
@@ -54,5 +59,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_packing, op4_secrets, op5_jaccard, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_suffixes, op3_packing, op4_secrets, op5_jaccard, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
