@@ -54,7 +54,7 @@ def candidates(docs: DataFrame, owner_col: str = "source") -> DataFrame:
     )
 
 
-def secret_scan(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS, keep_live: bool = False) -> DataFrame:
     """Spans of secrets in every document, with the reach of each candidate over the whole corpus.
 
     A candidate's value (for assignments the assigned one) is hashed and counted by distinct owner (owner_col) and
@@ -78,6 +78,7 @@ def secret_scan(docs: DataFrame, owner_col: str = "source", max_owners: int = MA
         F.count_if(F.col("owners") <= max_owners).alias("n_live"),
         F.count_if(F.col("owners") > max_owners).alias("n_example"),
         F.max("repositories").alias("max_repositories"),
+        F.array_sort(F.collect_list(F.when(F.col("owners") <= max_owners, F.struct("s.start", "s.end")))).alias("live"),
     )
     label = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])
     n = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long")
@@ -94,4 +95,28 @@ def secret_scan(docs: DataFrame, owner_col: str = "source", max_owners: int = MA
         F.coalesce("n_live", zero).alias("n_live"),
         F.coalesce("n_example", zero).alias("n_example"),
         F.coalesce("max_repositories", zero).alias("max_repositories"),
+        *(["live"] if keep_live else []),
     )
+
+
+#: What stands in the place of a redacted span.
+REDACTED = "[SECRET]"
+
+
+def redact_live(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """The rows of docs with live-looking secrets replaced; copied examples stay, and so does every document.
+
+    Overlapping spans are replaced once. n_chars, where docs has it, follows the text.
+    """
+    spans = secret_scan(docs, owner_col, max_owners, keep_live=True).where(F.size("live") > 0).groupBy(F.col("doc_id").alias("s_id")).agg(F.first("live").alias("live"))
+
+    def step(a, x):
+        gap = F.substring("text", a["at"] + 1, x["start"] - a["at"])
+        return F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], gap, F.lit(REDACTED)).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(F.aggregate("live", start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text")))))
+    joined = docs.join(spans, docs["doc_id"] == spans["s_id"], "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)

@@ -292,3 +292,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     spans = repeated(d, length, gram).groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("end").alias("end"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
     return d.join(spans, "doc_id", "left").select("doc_id", "text", "low", "end").mapInArrow(_removed(keep_text), kind)
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of docs with the bytes removed that remove_repeats removes; cut characters go, n_chars follows the text."""
+    spans = repeated(id_text(docs), length, gram).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list("low").alias("s_low"), F.collect_list("end").alias("s_end"))
+    joined = docs.join(spans, docs["doc_id"] == spans["s_id"], "left").drop("s_id")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            lows, ends = columns.pop("s_low").to_pylist(), columns.pop("s_end").to_pylist()
+            out = []
+            for low, end, text in zip(lows, ends, columns["text"]):
+                if low is None:
+                    out.append(text.as_py())
+                    continue
+                data, kept, at = text.as_buffer().to_pybytes(), [], 0
+                for a, b in merged(list(zip(low, end))):
+                    kept.append(data[at:a])
+                    at = b
+                out.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
+            columns["text"] = pa.array(out, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([n if low is None else len(t) for n, low, t in zip(columns["n_chars"].to_pylist(), lows, out)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return joined.mapInArrow(run, docs.schema)
