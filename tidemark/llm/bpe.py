@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +69,15 @@ class Units:
 
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in a row, number of ids of each)."""
-        found = list(map(self.slot.get, units))
-        if None in found:
+        at = np.fromiter(map(self.slot.get, units, repeat(-1)), np.int64, len(units))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
             if len(self.slot) > CACHE_UNITS:
                 self.clear()
-                found = [None] * len(units)
-            self.add(list(dict.fromkeys(u for u, f in zip(units, found) if f is None)))
-            found = list(map(self.slot.__getitem__, units))
-        at = np.array(found, np.int64)
+                miss = np.arange(len(units))
+            new = [units[i] for i in miss.tolist()]
+            self.add(list(dict.fromkeys(new)))
+            at[miss] = list(map(self.slot.__getitem__, new))
         lengths = self.lengths[at]
         return flat_gather(self.flat, self.starts[at], lengths), lengths
 
@@ -199,45 +201,83 @@ def _byte_chars() -> list[tuple[int, int]]:
     return [(b, b) for b in plain] + [(256 + i, b) for i, b in enumerate(rest)]
 
 
+def _ranks(path: str):
+    """(bytes to ranks, ids by rank) of a word vocabulary's file: single bytes, single bytes that end a word, then its merges."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    chars = [(chr(c), bytes([b])) for c, b in _byte_chars()]
+    byte = dict(chars)
+    end = model["end_of_word_suffix"]
+    plain = lambda t: b"".join(byte[c] for c in t.removesuffix(end)) + b"\xff" * t.endswith(end)
+    tokens = [t + e for e in ("", end) for t, _ in chars] + ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks = {plain(t): i for i, t in enumerate(tokens)}
+    encoding = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    return encoding._core_bpe.encode_single_piece, np.array([model["vocab"][t] for t in tokens], np.int64)
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordBPE:
     """Encodes like the tokenizers library with a vocabulary of lower-case words whose tokens never cross white space.
 
-    Texts of plain Latin letters are lower-cased, and a full stop or comma after a letter or digit parted from it, before
-    they are split, as the tokenizer does itself later: fewer distinct units are left to encode.
+    Texts of Latin letters are lower-cased before they are split, as the tokenizer does itself later: fewer distinct units
+    are left to encode. Plain words are merged by tiktoken with ranks made from the file's merges, where byte 255, which
+    UTF-8 lacks, stands for the end of a word; a full stop or comma after one is a piece of its own.
     """
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
-        self.far = re.compile("[^\x00-\u017f]|[\u0130\x1c-\x1f]")
-        self.run = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+        self.plain = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+        self.merge, self.id_of = _ranks(path)
+        self.stops = {c: self.merge(c.encode() + b"\xff") for c in ".,"}
         self.units = Units(self._many)
 
     def _many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words are encoded as one text and cut again by the places of their tokens."""
-        ids, counts = [], []
-        for i in range(0, len(units), 2000):
-            some = units[i : i + 2000]
-            got = self.t.encode(" ".join(some), add_special_tokens=False)
-            bounds = np.cumsum([len(u) + 1 for u in some])
-            place = np.searchsorted(bounds, np.array([a for a, _ in got.offsets], np.int64), "right")
-            ids.append(np.array(got.ids, np.uint32))
-            counts.append(np.bincount(place, minlength=len(some)))
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        """Plain words by their merges; the others as one text that is cut again by the places of its tokens."""
+        got: dict[str, list[int]] = {}
+        flat: list[int] = []
+        counts = np.zeros(len(units), np.int64)
+        hard = [u for u in units if not self.plain(u[:-1] if u[-1] in ".," and len(u) > 1 else u)]
+        for i in range(0, len(hard), 2000):
+            some = hard[i : i + 2000]
+            found = self.t.encode(" ".join(some), add_special_tokens=False)
+            place = np.searchsorted(np.cumsum([len(u) + 1 for u in some]), np.array([a for a, _ in found.offsets], np.int64), "right")
+            ends = np.cumsum(np.bincount(place, minlength=len(some)))
+            got |= zip(some, (x.tolist() for x in np.split(np.array(found.ids, np.int64), ends[:-1])))
+        known = len(self.id_of)
+        for k, u in enumerate(units):
+            if u in got:
+                ids = [known + x for x in got[u]]
+            elif u[-1] in self.stops:
+                ids = self.merge(u[:-1].encode() + b"\xff") + self.stops[u[-1]]
+            else:
+                ids = self.merge(u.encode() + b"\xff")
+            flat += ids
+            counts[k] = len(ids)
+        every = np.concatenate((self.id_of, np.arange(max(flat, default=0) + 1 - known if flat and max(flat) >= known else 0)))
+        return every[np.array(flat, np.int64)].astype(np.uint32), counts
 
     def encode_texts(self, many: list[str]) -> list[np.ndarray]:
         units: list[str] = []
         ends: list[int] = []
         whole: dict[int, np.ndarray] = {}
         for k, text in enumerate(many):
-            if self.far.search(text):
-                if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-                    whole[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
-                else:
-                    units += text.split()
-            elif "<|" in text or self.run.search(text):
-                units += text.split()
+            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python alone
+                whole[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                units += text.lower().replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").split()
+                units += (text.lower() if "<|" not in text and _latin(text) else text).split()
             ends.append(len(units))
         ids, lengths = self.units.ids(units)
         at = np.concatenate(([0], np.cumsum(lengths)))[np.array([0, *ends])]
