@@ -2,8 +2,9 @@
 
 A document's set has at least T = ceil(0.8 n) elements in common with any partner. DivideSkip sets the longest inverted
 lists aside and merges the short ones, where a partner must still occur; long lists are then only probed. Over the corpus
-the short lists are those of the rarest elements: the first n - T + 1 in an order that puts frequent elements last, one of
-which every partner shares. Candidates that share one form blocks, and each block is joined exactly by DivideSkip.
+short lists are made by taking pairs of elements that are neighbours in an order that puts frequent elements last: partners
+share so many pairs that one is among the first of each. Candidates that share one form blocks, and each block is joined
+exactly by DivideSkip.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Bytes of text whose words are hashed at once.
 KERNEL_BYTES = 1 << 20
 #: Frequent elements that are ordered last, at most; what is broadcast for them is 16 bytes each.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+#: Count within one such run of documents from which an element is reported, and total from which it is frequent.
+LOCAL, TOTAL = 3, 12
 #: Elements after which a task's counts of frequent elements are taken.
 COUNT_AT = 3_000_000
 #: Elements of a block that one task joins; larger ones are dealt out as pairs of parts.
 BLOCK = 3_000_000
+#: Bits of the sieve for members of blocks: one megabyte to each task, whatever the corpus.
+BITS = 1 << 23
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,7 +88,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
         five = mix(sum(word[k : k + rows] * _SHIFT[k] for k in range(words)))
     for i in np.flatnonzero(counts):
         a, c = first[i], counts[i]
-        out[i] = np.unique(five[a : a + c - words + 1]) if c >= words else mix(np.array([(word[a : a + c] * _SHIFT[words : words + c]).sum() + _SHIFT[40 + c]]))
+        out[i] = np.unique(five[a : a + c - words + 1]) if c >= words else mix((word[a : a + c] * _SHIFT[words : words + c]).sum(keepdims=True) + _SHIFT[40 + c : 41 + c])
     return out
 
 
@@ -108,7 +113,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def often() -> pa.RecordBatch:
         all_, count = np.unique(np.concatenate(held), return_counts=True)
-        keep = count >= max(4, len(held) // 1000)
+        keep = count >= LOCAL
         none = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(all_[keep].view(np.int64)), pa.array(count[keep])], names)
 
@@ -140,30 +145,65 @@ def rarest(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, n: int) -> np.
 
 
 def _prefixes(frequent: np.ndarray, rank: np.ndarray):
+    """(doc_id, n, elements): the first pairs of neighbours of each set in the corpus order, once for equal sets of a task.
+
+    Each element that one of two sets lacks parts at most one pair of common neighbours, so partners of sizes n and m share
+    (n + m) / 3 - 1 pairs at least, and one of the first 2n / 5 + 1. Chance partners and those that share a passage have
+    elements in common, but rarely neighbours. Sets of up to three elements have equal sets alone as partners.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, sets in _sets(batch):
-                rows = [(ids[i + k], len(s), rarest(s, frequent, rank, len(s) - least_overlap(len(s)) + 1).view(np.int64)) for k, s in enumerate(sets) if len(s)]
+                rows = []
+                for k, s in enumerate(sets):
+                    if len(s) < 4 or (d := digest(s)) in seen:
+                        continue
+                    seen.add(d)
+                    first = rarest(s, frequent, rank, 2 * len(s) // 5 + 2)
+                    rows.append((ids[i + k], len(s), mix(first[:-1] * _SHIFT[60] + first[1:]).view(np.int64)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["doc_id", "n", "elements"])
 
     return run
 
 
+def member_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each doc_id modulo BITS; bounded, and only a first sieve: rows that pass are still joined by id."""
+    at = F.pmod(F.col(column), F.lit(BITS))
+    words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = np.zeros(BITS // 64, np.int64)
+    for r in words:
+        bits[r["w"]] = r["b"]
+    return bits.view(np.uint64)
+
+
+def _only(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.column(0).to_numpy(zero_copy_only=False) % BITS
+        some = batch.filter(pa.array((bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)))
+        if some.num_rows:
+            yield some
+
+
 def candidate_links(prefixes: DataFrame) -> DataFrame:
     """Links (a, b) whose components hold every pair that shares a short list and is of fitting size.
 
-    A larger document probes with all its elements; a smaller one is met only by its first n - ceil(8n/9) + 1. In each list,
-    sorted by size, a document is linked with the first indexed one of its stretch; a stretch ends where the next indexed
-    size is out of reach. So a list gives one link a row, never its pairs.
+    A pair with k others before it leaves n - 1 - k to share, which bounds the partner's size: its reach. Pairs that reach
+    no equal size only probe for smaller documents. In each list, sorted by size, a document is linked with the
+    first indexed one of its stretch; a stretch ends where the next size is out of reach of all before. So a list gives one
+    link a row, never its pairs.
     """
     rows = prefixes.select("doc_id", "n", F.posexplode("elements").alias("at", "element"))
-    rows = rows.select("element", "doc_id", "n", (F.col("at") > F.expr("n - cast(ceil(8 * n / 9.0D) as bigint)")).cast("int").alias("late"))
+    # a partner's size: what is left from here on must do for the overlap
+    reach = F.floor(F.least(5 * F.col("n"), 8 * F.col("n") - 12 * F.col("at")) / 4).cast("long")
+    rows = rows.select("element", "doc_id", "n", reach.alias("reach"), (reach < F.col("n")).cast("int").alias("late"))
     w = Window.partitionBy("element").orderBy("n", "late", "doc_id")
-    before = F.last(F.when(F.col("late") == 0, F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(F.when(F.col("late") == 0, F.col("reach"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.select("*", before.alias("before"), F.lead("n").over(w).alias("after"), F.lag("n").over(w).alias("prior")).where("after is not null or prior is not null")
-    near = F.coalesce(F.col("before") * DENOMINATOR >= F.col("n") * NUMERATOR, F.lit(False))
+    near = F.coalesce(F.col("before") >= F.col("n"), F.lit(False))
     rows = rows.select("element", "doc_id", "n", "late", near.alias("near")).withColumn("stretch", F.sum(((F.col("late") == 0) & ~F.col("near")).cast("int")).over(w))
     root = F.first("doc_id").over(Window.partitionBy("element", "stretch").orderBy("n", "late", "doc_id"))
     rows = rows.withColumn("root", root).where(F.col("near") & (F.col("root") != F.col("doc_id")))
@@ -258,6 +298,13 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _members(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """class_id, n, weight, block and size (elements of the block) of the classes that links join into blocks."""
+    blocks = connected_components(staged(links, "links"), "blocks").withColumnsRenamed({"id": "class_id", "root": "block"})
+    found = staged(blocks.join(classes, "class_id").select("class_id", "n", "weight", "block"), "members")
+    return found.join(found.groupBy("block").agg(F.sum("n").alias("size")), "block")
+
+
 def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links and class_id of every document.
 
@@ -272,22 +319,22 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     described = staged(d.mapInArrow(_describe, "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
     meta = described.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
-    top = described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "element").limit(FREQUENT)
+    top = described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).where(F.col("count") >= TOTAL).orderBy(F.desc("count"), "element").limit(FREQUENT)
     often = sorted((r["element"] % (1 << 64), r["count"]) for r in top.collect())
     frequent, rank = np.array([e for e, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
     classes = staged(meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")), "classes")
-    prefixes = d.mapInArrow(_prefixes(frequent, rank), "doc_id long, n long, elements array<long>")
-    prefixes = prefixes.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    candidates = connected_components(staged(candidate_links(prefixes), "candidates"), "candidates")
-    members = candidates.select(F.col("id").alias("class_id"), F.col("root").alias("block")).join(classes, "class_id")
-    sizes = members.groupBy("block").agg(F.sum("n").alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / block)).cast("int")
-    members = members.join(sizes.select("block", F.when(F.col("size") <= block, 1).otherwise(parts).alias("parts")), "block")
-    members = members.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+    links = candidate_links(d.mapInArrow(_prefixes(frequent, rank), "doc_id long, n long, elements array<long>"))
+    of = meta.join(classes, ["d1", "d2"]).select("doc_id", "class_id").distinct()
+    for end in ("a", "b"):
+        links = links.join(of.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"class_{end}")), end)
+    members = _members(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), classes)
+    parts = F.when(F.col("size") <= block, 1).otherwise(F.ceil(2 * F.col("size") / block).cast("int"))
+    members = staged(members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")), "members")
     # a part meets every other one, and itself
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = members.select(F.col("class_id").alias("doc_id"), "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "weight")
-    rows = d.join(rows, "doc_id").select("block", "i", "j", "part", "doc_id", "weight", "text")
+    bits = member_bits(members, "class_id")
+    rows = d.mapInArrow(lambda batches: _only(batches, bits), "doc_id long, text string").join(rows, "doc_id").select("block", "i", "j", "part", "doc_id", "weight", "text")
     rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     joined = staged(rows.mapInArrow(_join_blocks, "doc_id long, root long, links long"), "joined")
     links = joined.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("last"))
