@@ -37,9 +37,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that operators read; a null text is an empty one."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+#: Ids from here on stand in for missing ones within operators that join by id.
+STAND_IN = 1 << 62
+
+
+def stand_in_id() -> F.Column:
+    """doc_id, or where it is missing one that the row's text gives."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(STAND_IN) + F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(STAND_IN)))
+
+
+def id_text(docs: DataFrame, stand_in: bool = False) -> DataFrame:
+    """doc_id and text, a null text as an empty one; with stand_in, no id is missing."""
+    return docs.select((stand_in_id() if stand_in else F.col("doc_id").cast("long")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def real_id(c: str) -> F.Column:
+    """The id, null where it was a stand-in."""
+    return F.when(F.col(c) < STAND_IN, F.col(c)).alias(c)
 
 
 def utf8_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_gather, id_text, staged, utf8_chunks
+from tidemark.llm.common import flat_gather, id_text, real_id, staged, utf8_chunks
 from tidemark.llm.components import connected_components
 
 #: Words of a shingle; similarity as a fraction.
@@ -246,12 +246,11 @@ class Index:
         return found[keep], counts[keep]
 
 
-def join_block(ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest id reached, weight of linked members) of each member; members of unlike parts only, where there are two."""
+def join_block(ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], two: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id reached, weight of linked members) of each member; with two, links within a part are left out."""
     index = Index(sets)
     parent = np.arange(len(ids))
     links = np.zeros(len(ids), np.int64)
-    two = parts.min() != parts.max()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -282,7 +281,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = {d: (w, p, s) for d, w, p, s in held}
         ids = np.array(list(members), np.int64)
         w, p, sets = zip(*members.values())
-        roots, links = join_block(ids, np.array(w, np.int64), np.array(p, np.int64), list(sets))
+        roots, links = join_block(ids, np.array(w, np.int64), np.array(p, np.int64), list(sets), key[1] != key[2])
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(links)], ["doc_id", "root", "links"])
 
     for batch in batches:
@@ -310,17 +309,23 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     class_id is the smallest doc_id with the same set; component_id the smallest that links reach; n_links counts linked
     documents, copies included. Null and empty texts and those without words have an empty set and no link; texts of fewer
-    words than a shingle are one element; rows that share a doc_id should share their text and get equal rows; other columns
-    are dropped; an empty table gives an empty result. Copies are one class before any text moves; frequent elements come
+    words than a shingle are one element; rows that share a doc_id should share their text and get equal rows; a row without
+    doc_id joins its group under a stand-in, which is null in the result; other columns are dropped; an empty table gives an
+    empty result. Copies are one class before any text moves; frequent elements come
     last in the order, so that lists of passages that many documents share are short; blocks over block elements are joined
     in pairs of parts, each part meeting every other, so that nothing is capped.
     """
-    d = id_text(docs)
-    spark = docs.sparkSession
+    d = id_text(docs, stand_in=True)
     described = staged(d.mapInArrow(_describe, "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
     meta = described.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
-    top = described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).where(F.col("count") >= TOTAL).orderBy(F.desc("count"), "element").limit(FREQUENT)
-    often = sorted((r["element"] % (1 << 64), r["count"]) for r in top.collect())
+    counts = staged(described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).where(F.col("count") >= TOTAL), "counts")
+    least, held = TOTAL, 0  # the smallest power of two above which there are few enough
+    for r in counts.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():
+        held += r["count"]
+        if held > FREQUENT:
+            least = 2 << r["power"]
+            break
+    often = sorted((r["element"] % (1 << 64), r["count"]) for r in counts.where(F.col("count") >= least).collect())
     frequent, rank = np.array([e for e, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
     classes = staged(meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")), "classes")
     links = candidate_links(d.mapInArrow(_prefixes(frequent, rank), "doc_id long, n long, elements array<long>"))
@@ -344,4 +349,5 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     links = links.select(F.col("doc_id").alias("class_id"), "links", "root")
     known = classes.join(links, "class_id", "left").select("d1", "d2", "class_id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class_id").alias("root"))
     out = meta.join(known, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select(real_id("doc_id"), "n_shingles", real_id("component_id"), "n_links", real_id("class_id"))

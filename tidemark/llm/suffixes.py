@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, staged, utf8_chunks
+from tidemark.llm.common import id_text, real_id, staged, stand_in_id, utf8_chunks
 from tidemark.llm.jaccard import mix
 
 #: Bytes of a repeated string, and of a gram.
@@ -285,19 +285,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, text (what remains, characters that were
     cut apart dropped). Null texts are empty; texts shorter than length lose nothing; equal texts and repeated rows of
-    length bytes or more lose everything; rows that share a doc_id should share their text; other columns are dropped; an
-    empty table gives an empty result. Matches never cross documents.
+    length bytes or more lose everything; rows that share a doc_id should share their text; a row without doc_id is treated
+    like any other; other columns are dropped; an empty table gives an empty result. Matches never cross documents.
     """
-    d = id_text(docs)
+    d = id_text(docs, stand_in=True)
     spans = repeated(d, length, gram).groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("end").alias("end"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return d.join(spans, "doc_id", "left").select("doc_id", "text", "low", "end").mapInArrow(_removed(keep_text), kind)
+    out = d.join(spans, "doc_id", "left").select("doc_id", "text", "low", "end").mapInArrow(_removed(keep_text), kind)
+    return out.withColumn("doc_id", real_id("doc_id"))
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The rows of docs with the bytes removed that remove_repeats removes; cut characters go, n_chars follows the text."""
-    spans = repeated(id_text(docs), length, gram).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list("low").alias("s_low"), F.collect_list("end").alias("s_end"))
-    joined = docs.join(spans, docs["doc_id"] == spans["s_id"], "left").drop("s_id")
+    spans = repeated(id_text(docs, stand_in=True), length, gram).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list("low").alias("s_low"), F.collect_list("end").alias("s_end"))
+    joined = docs.withColumn("s_id", stand_in_id()).join(spans, "s_id", "left").drop("s_id")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ LEAST_ODDS, LEAST_ROWS = 1.0, 3
 #: Letters of a stem; it is written with a star.
 STEM = 4
 #: Weights of the counterfactual penalty and of the ridge.
-SWAP, RIDGE = 5.0, 1e-3
+SWAP, RIDGE = 50.0, 1e-3
 #: Score from which a document counts as toxic.
 CUT = 0.3
 
@@ -96,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return {}, float(np.log((pos + 1) / (neg + 9)))
-    counts = d.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).where(F.col("p") + F.col("n") >= LEAST_ROWS)
+    stems = {f"{x[:STEM]}*" for row in IDENTITY for x in row}  # they would stand in for the terms
+    counts = d.select("label", F.explode("words").alias("word")).where(~F.col("word").isin(*stems)).groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).where(F.col("p") + F.col("n") >= LEAST_ROWS)
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (neg - F.col("n") + 0.5))
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5) + 1 / (pos - F.col("p") + 0.5) + 1 / (neg - F.col("n") + 0.5))
     least = (odds - 2 * error).alias("least")
