@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import flat_gather, id_text, texts
 
 #: Units that a worker remembers; beyond them it starts anew, so its memory stays bounded.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 #: Characters of unsplit text that are encoded whole; longer ones are halved.
 LEAF = 64
 #: Split pattern of the byte-level vocabulary (a fixed value of the tokenizer).

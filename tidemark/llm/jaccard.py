@@ -23,13 +23,13 @@ from tidemark.llm.components import connected_components
 #: Words of a shingle; similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Bytes of text whose words are hashed at once.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 19
 #: Frequent elements that are ordered last, at most; what is broadcast for them is 16 bytes each.
 FREQUENT = 1 << 18
 #: Count within one such run of documents from which an element is reported, and total from which it is frequent.
 LOCAL, TOTAL = 3, 12
 #: Elements after which a task's counts of frequent elements are taken.
-COUNT_AT = 3_000_000
+COUNT_AT = 2_000_000
 #: Elements of a block that one task joins; larger ones are dealt out as pairs of parts.
 BLOCK = 3_000_000
 #: Bits of the sieve for members of blocks: one megabyte to each task, whatever the corpus.

@@ -21,6 +21,9 @@ THRESHOLD = -0.05
 #: Hashes of the words and of the pairs of neighbouring words in array w.
 _GRAMS = f"concat(transform(w, x -> cast(pmod(xxhash64(x), {BUCKETS}) as int)), transform(slice(w, 2, greatest(size(w) - 1, 0)), (x, i) -> cast(pmod(xxhash64(w[i], x), {BUCKETS}) as int)))"
 
+#: Mean ratio r of the n-grams of w.
+_SCORE = f"if(size(w) = 0, 0D, aggregate({_GRAMS}, 0D, (a, g) -> a + r[g]) / (2 * size(w) - 1))"
+
 #: Words in windows of three that the text has twice or more: hashes sorted with their place, equal neighbours kept, then
 #: each found window adds what it reaches beyond the one before.
 _REPEATS = """
@@ -41,22 +44,21 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
-def base_rules(docs: DataFrame, ratios=None, keep_row: bool = False) -> DataFrame:
-    """The rule columns of every document, with ratios (one array of BUCKETS doubles) llr, and with keep_row the row itself."""
+def base_rules(docs: DataFrame, ratios=None) -> DataFrame:
+    """The rule columns of every document and, with ratios (one array of BUCKETS doubles), llr."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    score = "0D" if ratios is None else f"if(size(w) = 0, 0D, aggregate({_GRAMS}, 0D, (a, g) -> a + r[g]) / (2 * size(w) - 1))"
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words(text).alias("words"), F.struct(*([F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.lit(None).alias("none")])).alias("row"), *([] if ratios is None else [ratios.alias("r")]))
+    score = "0D" if ratios is None else _SCORE
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words(text).alias("words"), *([] if ratios is None else [ratios.alias("r")]))
     plain = text
     for symbol in SYMBOLS:
         plain = F.replace(plain, F.lit(symbol), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     return d.select(
         "doc_id",
-        "row",
         (F.length("text") - F.length(plain)).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0].alias("n_dup_lines"),
         F.expr(f"transform(array(words), w -> named_struct('n_words', cast(size(w) as bigint), 'word_chars', cast(length(array_join(w, '')) as bigint), 'n_repeat_words', {_REPEATS}, 'llr', {score}))[0]").alias("x"),
-    ).select("doc_id", "x.n_words", "x.word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words", ((F.col("x.n_words") < 50) | (100 * F.col("x.n_repeat_words") > 50 * F.col("x.n_words"))).alias("base_failed"), "x.llr", "row")
+    ).select("doc_id", "x.n_words", "x.word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words", ((F.col("x.n_words") < 50) | (100 * F.col("x.n_repeat_words") > 50 * F.col("x.n_words"))).alias("base_failed"), "x.llr")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -88,6 +90,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """The rows of docs, with all their columns, that quality_rules keeps; no text is shuffled."""
-    judged = base_rules(docs, ratios(docs, trusted, target_rows).scalar(), keep_row=True)
-    return judged.where(~F.col("base_failed") & (F.col("llr") >= threshold)).select("row.*")
+    """The rows of docs, with all their columns, that quality_rules keeps; no text is shuffled.
+
+    The verdict is one expression, so that a filter that moves below a projection does not repeat its parts.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), words(text).alias("words"), ratios(docs, trusted, target_rows).scalar().alias("r"))
+    verdict = f"size(w) >= 50 and 100 * {_REPEATS} <= 50 * size(w) and {_SCORE} >= {threshold}D"
+    return d.where(F.expr(f"transform(array(words), w -> {verdict})[0]")).select("row.*")

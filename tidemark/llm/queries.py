@@ -10,6 +10,7 @@ from tidemark.llm.common import documents
 from tidemark.llm.html import main_text
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.media import text_media
+from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import best_fit
 from tidemark.llm.pii import personal_data
 from tidemark.llm.quality import quality_rules
@@ -59,5 +60,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_media, op2_suffixes, op3_packing, op4_secrets, op5_jaccard, op6_bpe, op7_pii, op8_toxicity, op9_quality, op10_html)}
-ORACLES: dict[str, str] = {}

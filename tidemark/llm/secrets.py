@@ -11,7 +11,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Long runs of token characters; kept as candidates where they mix cases and digits.
-OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
+OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 
 #: Kinds in the order of the output; opaque spans are added by the ownership test.
 KINDS = ("assign", "access", "hex", "opaque")

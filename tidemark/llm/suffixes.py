@@ -24,9 +24,9 @@ from tidemark.llm.jaccard import mix
 #: Bytes of a repeated string, and of a gram.
 LENGTH, GRAM = 200, 64
 #: Bytes whose suffixes are hashed at once.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 19
 #: Runs of a task that are compared before the shuffle.
-COMBINE = 500_000
+COMBINE = 250_000
 #: Bytes of runs whose suffixes are sorted at once in the last pass; groups over it go by single suffixes.
 LAST_BYTES = 8 << 20
 
