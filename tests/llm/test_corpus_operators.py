@@ -250,3 +250,16 @@ def test_pipeline(spark, docs):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_long_documents_go_by_stretches(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 9))) for _ in range(900)]
+    text = " ".join(rnd.choice(words) for _ in range(4000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = jaccard.shingle_sets(data, np.array([0, len(data)]))[0].tolist()
+    monkeypatch.setattr(jaccard, "KERNEL_BYTES", 500)
+    assert jaccard.shingle_sets(data, np.array([0, len(data)]))[0].tolist() == whole
+    monkeypatch.setattr(suffixes, "KERNEL_BYTES", 300)
+    passage = text[1000:1700]
+    same_repeats(spark, [text[:5000], "x" + passage, passage[:100] + "y", "zz" * 700], 40, 12)

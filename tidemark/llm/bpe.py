@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import flat_gather, id_text, texts
+from tidemark.llm.common import flat_gather, id_text, map_arrow, texts
 
 #: Units that a worker remembers; beyond them it starts anew, so its memory stays bounded.
 CACHE_UNITS = 300_000
@@ -315,4 +315,4 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                 columns = [ids.slice(i, len(many)), *(pa.array(list(x), t) for x, t in zip(zip(*rows), types))]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kind.split(", ")])
 
-    return id_text(docs).mapInArrow(run, kind)
+    return id_text(docs).transform(map_arrow, run, kind)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_arrow
+
 #: Elements without an end tag, those whose content is no markup, and those that stand inside a block. Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
@@ -256,4 +258,4 @@ def main_text(pages: DataFrame, labelled: list[tuple[str, list[bool]]] | None =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return d.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return d.transform(map_arrow, run, "page_id long, url string, text string, n_chars long")

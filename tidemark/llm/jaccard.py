@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_gather, id_text, real_id, staged, utf8_chunks
+from tidemark.llm.common import flat_gather, id_text, map_arrow, real_id, staged, utf8_chunks
 from tidemark.llm.components import connected_components
 
 #: Words of a shingle; similarity as a fraction.
@@ -64,24 +64,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each document's shingles; documents are data[offsets[i]:offsets[i + 1]]."""
-    n = len(offsets) - 1
-    out = [np.zeros(0, np.uint64)] * n
-    if not len(data):
-        return out
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of the first word of each document and of the end)."""
     low = _LOWER[data]
     space = (low == 32) | ((low >= 9) & (low <= 13))
     edge = np.zeros(len(low) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | edge[:-1]))
     end = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | edge[1:])) + 1
-    if not len(start):
-        return out
     up, down = powers(len(low) + 1)
     total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[low] * up[: len(low)])))
-    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, offsets)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, offsets)
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of one document's words, by stretches that end at white space."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + 2 * KERNEL_BYTES
+        while end < len(data) and data[end] != 32 and not 9 <= data[end] <= 13:
+            end += 1
+        out.append(_words(data[at:end], np.array([0, min(end, len(data)) - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each document's shingles; documents are data[offsets[i]:offsets[i + 1]]."""
+    n = len(offsets) - 1
+    out = [np.zeros(0, np.uint64)] * n
+    if not len(data):
+        return out
+    if n == 1 and len(data) > 2 * KERNEL_BYTES:
+        word = _long_words(data)
+        first = np.array([0, len(word)])
+    else:
+        word, first = _words(data, offsets)
     counts = np.diff(first)
     if len(word) >= words:
         rows = len(word) - words + 1
@@ -316,7 +334,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     in pairs of parts, each part meeting every other, so that nothing is capped.
     """
     d = id_text(docs, stand_in=True)
-    described = staged(d.mapInArrow(_describe, "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
+    described = staged(d.transform(map_arrow, _describe, "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
     meta = described.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
     counts = staged(described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).where(F.col("count") >= TOTAL), "counts")
     least, held = TOTAL, 0  # the smallest power of two above which there are few enough
@@ -328,7 +346,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     often = sorted((r["element"] % (1 << 64), r["count"]) for r in counts.where(F.col("count") >= least).collect())
     frequent, rank = np.array([e for e, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
     classes = staged(meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")), "classes")
-    links = candidate_links(d.mapInArrow(_prefixes(frequent, rank), "doc_id long, n long, elements array<long>"))
+    links = candidate_links(d.transform(map_arrow, _prefixes(frequent, rank), "doc_id long, n long, elements array<long>"))
     of = meta.join(classes, ["d1", "d2"]).select("doc_id", "class_id").distinct()
     for end in ("a", "b"):
         links = links.join(of.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"class_{end}")), end)
@@ -339,9 +357,9 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = members.select(F.col("class_id").alias("doc_id"), "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "weight")
     bits = member_bits(members, "class_id")
-    rows = d.mapInArrow(lambda batches: _only(batches, bits), "doc_id long, text string").join(rows, "doc_id").select("block", "i", "j", "part", "doc_id", "weight", "text")
+    rows = d.transform(map_arrow, lambda batches: _only(batches, bits), "doc_id long, text string").join(rows, "doc_id").select("block", "i", "j", "part", "doc_id", "weight", "text")
     rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    joined = staged(rows.mapInArrow(_join_blocks, "doc_id long, root long, links long"), "joined")
+    joined = staged(rows.transform(map_arrow, _join_blocks, "doc_id long, root long, links long"), "joined")
     links = joined.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("last"))
     if joined.groupBy("doc_id").count().where("count > 1").head(1):
         roots = connected_components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "roots").withColumnRenamed("id", "doc_id")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_text, utf8_chunks
+from tidemark.llm.common import id_text, map_arrow, utf8_chunks
 
 #: WAV format tags (fixed values of the RIFF registry).
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -174,4 +174,4 @@ def text_media(docs: DataFrame, to_rate: int = 16000, keep_files: bool = False)
 
     names = [x.split()[0] for x in kind.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in kind.split(", ")]
-    return id_text(docs).mapInArrow(run, kind)
+    return id_text(docs).transform(map_arrow, run, kind)

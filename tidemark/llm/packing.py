@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import WordBPE, codec
-from tidemark.llm.common import id_text, staged, texts
+from tidemark.llm.common import id_text, map_arrow, staged, texts
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
                         seen[len(part)] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in kind.split(", ")])
 
-    return id_text(docs).mapInArrow(run, kind)
+    return id_text(docs).transform(map_arrow, run, kind)
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:

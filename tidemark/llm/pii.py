@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_text, texts
+from tidemark.llm.common import id_text, map_arrow, texts
 
 #: Kinds in the order of the output; the last only by the CRF.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -281,4 +281,4 @@ def personal_data(docs: DataFrame, table: list[tuple[list[str], list[str]]] | No
                 columns = [batch.column(0).slice(i, len(many)), *(pa.array(x, pa.string() if name in ("base_sha256", "spans") else pa.int64()) for name, x in zip(names[1:], zip(*rows)))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return id_text(docs).mapInArrow(run, kind)
+    return id_text(docs).transform(map_arrow, run, kind)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, real_id, staged, stand_in_id, utf8_chunks
+from tidemark.llm.common import id_text, map_arrow, real_id, staged, stand_in_id, utf8_chunks
 from tidemark.llm.jaccard import mix
 
 #: Bytes of a repeated string, and of a gram.
@@ -27,8 +27,8 @@ LENGTH, GRAM = 200, 64
 KERNEL_BYTES = 1 << 19
 #: Runs of a task that are compared before the shuffle.
 COMBINE = 250_000
-#: Bytes of runs whose suffixes are sorted at once in the last pass; groups over it go by single suffixes.
-LAST_BYTES = 8 << 20
+#: Bytes of runs whose suffixes are sorted at once in the last pass, and of a group beyond which it goes by single suffixes.
+SORT_BYTES, LAST_BYTES = 1 << 20, 256 << 10
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -117,9 +117,12 @@ def _runs(length: int, gram: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in utf8_chunks(batch, limit=KERNEL_BYTES):
-                anchor, whole, document, low, high = runs(data, offsets, length, gram)
-                held.append((anchor, whole, ids[i + document], low, high - low))
-                size += len(low)
+                # a longer document goes by stretches; a run that is cut there is only another run
+                for at in range(0, max(1, len(data) - length + 1), 2 * KERNEL_BYTES):
+                    part = data[at : at + 2 * KERNEL_BYTES + length - 1] if len(data) > 2 * KERNEL_BYTES else data
+                    anchor, whole, document, low, high = runs(part, offsets if part is data else np.array([0, len(part)]), length, gram)
+                    held.append((anchor, whole, ids[i + document], low + at, high - low))
+                    size += len(low)
                 if size > COMBINE:
                     yield combined(held)
                     held, size = [], 0
@@ -188,7 +191,7 @@ def _last_pass(length: int):
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > LAST_BYTES // 8 and held and row[0] != held[-1][0]:
+                if size > SORT_BYTES and held and row[0] != held[-1][0]:
                     if (out := found(held)) is not None:
                         yield out
                     held, size = [], 0
@@ -232,7 +235,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     documents sends two rows a task and anchor. Anchors whose runs differ beyond LAST_BYTES are split into single suffixes
     and counted by hash instead of being held together.
     """
-    found = docs.mapInArrow(_runs(length, gram), "anchor long, whole long, doc_id long, low int, more int")
+    found = docs.transform(map_arrow, _runs(length, gram), "anchor long, whole long, doc_id long, low int, more int")
     w = Window.partitionBy("anchor").orderBy("whole", "doc_id", "low")
     near = {"before": F.lag, "after": F.lead}
     found = found.select("*", *(f(c).over(w).alias(f"{k}_{c}") for k, f in near.items() for c in ("whole", "doc_id")))
@@ -244,15 +247,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     whole = found.where("twice").select("doc_id", "low", (F.col("low") + F.col("more") + length).cast("int").alias("end"))
     asks = found.where("asks").select("anchor", "doc_id", "low", "more")
     some = asks.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "low", "more")).alias("asks"))
-    contexts = staged(docs.join(some, "doc_id").select("doc_id", "text", "asks").mapInArrow(_contexts(length), "anchor long, doc_id long, low int, bytes binary"), "contexts")
+    contexts = staged(docs.join(some, "doc_id").select("doc_id", "text", "asks").transform(map_arrow, _contexts(length), "anchor long, doc_id long, low int, bytes binary"), "contexts")
     large = contexts.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > LAST_BYTES).select("anchor")
     kind = "doc_id long, low int, end int"
     if not large.head(1):
-        last = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_last_pass(length), kind)
+        last = contexts.repartition("anchor").sortWithinPartitions("anchor").transform(map_arrow, _last_pass(length), kind)
         return whole.union(last)
     large = staged(large, "large")
-    last = contexts.join(large, "anchor", "left_anti").select("anchor", "doc_id", "low", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_last_pass(length), kind)
-    single = staged(contexts.join(large, "anchor", "left_semi").select("anchor", "doc_id", "low", "bytes").mapInArrow(_explode(length), "anchor long, key long, doc_id long, low int"), "single")
+    last = contexts.join(large, "anchor", "left_anti").select("anchor", "doc_id", "low", "bytes").repartition("anchor").sortWithinPartitions("anchor").transform(map_arrow, _last_pass(length), kind)
+    single = staged(contexts.join(large, "anchor", "left_semi").select("anchor", "doc_id", "low", "bytes").transform(map_arrow, _explode(length), "anchor long, key long, doc_id long, low int"), "single")
     again = single.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key")
     single = single.join(again, ["anchor", "key"], "left_semi").select("doc_id", "low", (F.col("low") + length).cast("int").alias("end"))
     return whole.union(last).union(single)
@@ -291,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     d = id_text(docs, stand_in=True)
     spans = repeated(d, length, gram).groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("end").alias("end"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    out = d.join(spans, "doc_id", "left").select("doc_id", "text", "low", "end").mapInArrow(_removed(keep_text), kind)
+    out = d.join(spans, "doc_id", "left").select("doc_id", "text", "low", "end").transform(map_arrow, _removed(keep_text), kind)
     return out.withColumn("doc_id", real_id("doc_id"))
 
 
@@ -320,4 +323,4 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 columns["n_chars"] = pa.array([n if low is None else len(t) for n, low, t in zip(columns["n_chars"].to_pylist(), lows, out)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.transform(map_arrow, run, docs.schema)
