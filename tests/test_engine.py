@@ -248,6 +248,8 @@ def test_cron():
     assert fire("0 6 29 2 *", datetime(2026, 7, 9)) == datetime(2028, 2, 29, 6)
     assert fire("30 1 * * *", datetime(2026, 3, 29, 0, 30), "Europe/London") == datetime(2026, 3, 30, 1, 30)
     assert cron.matches("0 0 1 * 1", datetime(2026, 7, 6)) and cron.matches("0 0 1 * 1", datetime(2026, 7, 1))
+    assert cron.next_expected("0 6 * * *", datetime(2026, 7, 9, 7), "UTC", 6).replace(tzinfo=None) == datetime(2026, 7, 10, 12)
+    assert cron.next_expected(None, datetime(2026, 7, 9)) is None
     with pytest.raises(ValueError):
         cron.parse("61 * * * *")
 

@@ -63,7 +63,7 @@ def classify(df: DataFrame, probe: Probe, as_of: datetime, event_time: str | Non
         one(eligible & (lag < 0)).alias("is_negative_clipped"),
         one(eligible & (lag > a.lag_cap_days)).alias("is_overflow"),
         one(mismatch).alias("is_compare_mismatch"),
-        one(base & matched & (F.col("_dup") > 1) if via else F.lit(False)).alias("is_ambiguous"),
+        one(base & matched & (F.col("_first") == 1) & (F.col("_dup") > 1) if via else F.lit(False)).alias("is_ambiguous"),
         one(base).alias("is_base_row"),
         (F.when(base & ~matched, 1).when(base & F.coalesce(F.col("_first") == 1, F.lit(False)), 1).otherwise(0) if via else F.lit(1)).alias("is_base_once"),
         (F.col("_dup").cast("long") if via else F.lit(None).cast("long")).alias("lookup_dup"),

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Analysis, Probe, Via
+from tidemark.functions import times as T
 from tidemark.operators import cells as C
 from tidemark.operators import classify as K
 from tidemark.operators import curves as V
 from tidemark.operators import robust as R
 from tidemark.operators.via import duplicated_keys
 from tidemark.plans import measures as M
+from tidemark.sources.tables import inventory
 
 AS_OF = datetime(2001, 7, 15, 12)
 VIA_AS_OF = datetime(2001, 6, 1)
@@ -242,6 +244,33 @@ def via_guard(spark, sf_dir):
     return C.global_row(lines_staging(spark, sf_dir)).select("row_count", "n_join_unmatched", "lookup_dup_max", "n_ambiguous_rows")
 
 
+AMBIGUOUS_SQL = """WITH b AS (SELECT * FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01 00:00:00' OR l_shipdate IS NULL),
+lk AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderkey) AS dup FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)),
+j AS (SELECT lk.* FROM b LEFT JOIN lk ON b.l_orderkey = lk.o_orderkey)
+SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CASE WHEN rn IS NULL OR rn = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_base_rows, CAST(sum(CASE WHEN rn = 1 AND dup > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_ambiguous_rows, CAST((SELECT max(dup) FROM lk) AS BIGINT) AS lookup_dup_max FROM j"""
+
+
+@query(AMBIGUOUS_SQL)
+def via_ambiguous(spark, sf_dir):
+    every = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    lookup = every.where("o_orderkey % 10 <> 3").union(every.where("o_orderkey % 7 = 0"))
+    base = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    return C.global_row(K.staging(base, LINES, VIA_AS_OF, lookup)).select("row_count", "n_base_rows", "n_ambiguous_rows", "lookup_dup_max")
+
+
+@query("SELECT event_id, CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS month, date_trunc('hour', ts)::TIMESTAMP AS hour, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, date_diff('day', TIMESTAMP '2024-01-01 12:00:00', ts) AS days, CAST(date_trunc('month', ts) + INTERVAL 1 MONTH AS DATE)::VARCHAR AS month_end, round(date_diff('microsecond', TIMESTAMP '2024-01-01 12:00:00', ts) / 86400000000.0, 6) AS elapsed FROM events")
+def time_functions(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    start = T.timestamp(datetime(2024, 1, 1, 12))
+    return d.select("event_id", T.month_floor(F.col("ts")).cast("string").alias("month"), T.time_bucket(F.col("ts"), "hour").alias("hour"), T.time_bucket(F.col("ts"), "day").alias("day"), T.day_difference(start, F.col("ts")).cast("long").alias("days"), T.month_end(T.month_floor(F.col("ts"))).cast("string").alias("month_end"), F.round(T.elapsed_days(start, F.col("ts")), 6).alias("elapsed"))
+
+
+@query("SELECT table_name AS table_name, CAST(ordinal_position - 1 AS BIGINT) AS ordinal, column_name FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'events')")
+def column_inventory(spark, sf_dir):
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events")}
+    return spark.createDataFrame([(r["table"], r["ordinal"], r["column"]) for r in inventory(tables)], "table_name string, ordinal long, column_name string")
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicated_lookup_keys(spark, sf_dir):
     return duplicated_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), Via("lineitem", (("a", "l_orderkey"), ("b", "l_linenumber")), "l_shipdate"))
