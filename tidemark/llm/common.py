@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and lost executors cost no recomputation."""
+    """Write df to the shared folder and read it again: lineage ends there and lost executors cost no recomputation.
+
+    Results read these tables lazily, so they stay; an application's folder can go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,8 +49,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, unless their import path has it."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    if app in _shipped or not root.is_dir() or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    path = Path(tempfile.mkdtemp(prefix="package-")) / f"tidemark-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "tidemark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with batches of at most BATCH_BYTES, after which a worker gives its free memory back."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:

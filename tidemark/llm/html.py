@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
 
-#: Elements without an end tag, those whose content is no markup, and those that stand inside a block. Fixed values of HTML.
+#: Elements without an end tag, and those that stand inside a block. Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag of the key's set ends. Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -195,7 +194,7 @@ class TreeModel:
         return ["\n\n".join(x) for x in out]
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 320, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages of common layouts by templates, with the label of every text block; drawn by a fixed seed."""
     rnd, out = random.Random(seed), []
     words = lambda a, b: " ".join("".join(rnd.choice("aeiounrstlmdk") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(a, b)))
@@ -204,23 +203,26 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, list[bool]]]
         parts: list[tuple[str, bool]] = []
         mark = lambda text, good: parts.append((text, good)) or text
         links = lambda a, b: "".join(f'<li><a href="/x">{mark(words(1, 3), False)}</a></li>' for _ in range(rnd.randint(a, b)))
+        pick = lambda text: rnd.choice(text.split())
+        named = lambda text: f'{rnd.choice(["class", "class", "id"])}="{pick(text)}"'
         junk = {
             "nav": lambda: f"<nav><ul>{links(3, 8)}</ul></nav>",
-            "menu": lambda: f'<div class="menu"><ul>{links(3, 8)}</ul></div>',
-            "header": lambda: f'<header><div class="logo">{mark(words(1, 3), False)}</div></header>',
-            "ad": lambda: f'<div class="{rnd.choice(["ad", "ads", "advert", "banner", "promo", "sponsored"])}">{mark(said(3, 20), False)}</div>',
-            "notice": lambda: f'<div class="{rnd.choice(["cookie", "notice", "consent"])}"><p>{mark(said(4, 20), False)}</p></div>',
-            "aside": lambda: f"<aside><h3>{mark(words(1, 3), False)}</h3><p>{mark(said(4, 30), False)}</p><ul>{links(2, 5)}</ul></aside>",
-            "sidebar": lambda: f'<div class="sidebar"><h3>{mark(words(1, 3), False)}</h3><p>{mark(said(4, 30), False)}</p></div>',
-            "form": lambda: f"<form><label>{mark(words(1, 3), False)}</label><input name=q></form>",
-            "share": lambda: f'<div class="share"><a href="/s">{mark(words(1, 2), False)}</a></div>',
-            "related": lambda: f'<div class="related"><ul>{links(2, 6)}</ul></div>',
-            "comments": lambda: f'<{(t := rnd.choice(["section", "div"]))} class="{rnd.choice(["comments", "comment"])}"><h3>{mark(words(1, 2), False)}</h3>' + "".join(f'<div class="comment"><p>{mark(said(3, 40), False)}</p></div>' for _ in range(rnd.randint(1, 3))) + f"</{t}>",
-            "footer": lambda: f"<footer>{mark(said(3, 16), False)}</footer>",
-            "foot": lambda: f'<div class="footer"><p>{mark(said(3, 16), False)}</p></div>',
+            "menu": lambda: f'<div {named("menu navbar navigation main-menu breadcrumb breadcrumbs topnav toc pagination")}><ul>{links(3, 8)}</ul></div>',
+            "header": lambda: f'<header><{(t := pick("div h1 p h2"))} class="{pick("logo site-title brand tagline")}">{mark(words(1, 3), False)}</{t}></header>',
+            "top": lambda: f'<div {named("header masthead site-header topbar")}><p>{mark(words(1, 4), False)}</p></div>',
+            "ad": lambda: f'<div {named("ad ads advert advertisement banner promo sponsored sponsor ad-slot adsense")}>{mark(said(3, 30), False)}</div>',
+            "notice": lambda: f'<{(t := pick("div section aside"))} {named("cookie notice consent cookie-banner gdpr alert newsletter subscribe popup paywall")}><p>{mark(said(4, 25), False)}</p></{t}>',
+            "aside": lambda: f"<aside><h3>{mark(words(1, 3), False)}</h3><p>{mark(said(4, 40), False)}</p><ul>{links(2, 5)}</ul></aside>",
+            "sidebar": lambda: f'<div {named("sidebar side-bar rail widget widgets")}><h3>{mark(words(1, 3), False)}</h3><p>{mark(said(4, 40), False)}</p></div>',
+            "form": lambda: f"<form><label>{mark(words(1, 4), False)}</label><input name=q><p>{mark(said(2, 12), False)}</p><button>{mark(words(1, 2), False)}</button></form>",
+            "share": lambda: f'<div {named("share social sharing social-links")}><a href="/s">{mark(words(1, 2), False)}</a></div>',
+            "related": lambda: f'<div {named("related recommended more-stories trending popular")}><h3>{mark(words(1, 3), False)}</h3><ul>{links(2, 6)}</ul></div>',
+            "comments": lambda: f'<{(t := pick("section div ol"))} {named("comments comment-list commentlist discussion responses replies reader-comments")}><h3>{mark(words(1, 2), False)}</h3>' + "".join(f'<{(u := pick("div li article"))} class="{pick("comment reply response comment-body")}"><p>{mark(said(3, 60), False)}</p></{u}>' for _ in range(rnd.randint(1, 4))) + f"</{t}>",
+            "footer": lambda: f"<footer>{mark(said(3, 24), False)}</footer>",
+            "foot": lambda: f'<div {named("footer site-footer copyright legal")}><p>{mark(said(3, 24), False)}</p></div>',
         }
         some = lambda kinds, p: "".join(junk[k]() for k in kinds if rnd.random() < p)
-        before = some(["header", "nav", "menu", "notice", "ad", "sidebar"], 0.5)
+        before = some(["header", "top", "nav", "menu", "notice", "ad", "sidebar"], 0.45)
         body = f"<h1>{mark(words(2, 9), True)}</h1>" if rnd.random() < 0.9 else ""
         for _ in range(rnd.randint(1, 9)):
             kind = rnd.random()
@@ -234,7 +236,7 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, list[bool]]]
                 body += f"<blockquote><p>{mark(said(4, 30), True)}</p></blockquote>"
             body += some(["ad", "share", "form"], 0.05)
         body += some(["share", "related", "comments"], 0.2)
-        wrap = rnd.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="article">{}</div>'])
+        wrap = rnd.choice(["<article>{}</article>"] * 4 + ["<main>{}</main>", "<main><article>{}</article></main>", "<article><section>{}</section></article>", "<div " + named("content article post story entry main entry-content post-body article-body") + ">{}</div>", '<div id="main"><div class="post">{}</div></div>'])
         page = f"<html><head><title>x</title></head><body>{before}{wrap.format(body)}{some(['comments', 'aside', 'related', 'ad', 'form'], 0.3)}{some(['footer'] if rnd.random() < 0.8 else ['foot'], 0.95)}</body></html>"
         order = {text: good for text, good in parts}
         out.append((page, [order[t] for t in parse(page).text if t is not None]))
