@@ -16,7 +16,7 @@ from tidemark.operators import robust as R
 from tidemark.operators.via import JoinNotUnique, assert_unique
 from tidemark.plans import assess as A
 from tidemark.plans import present as P
-from tidemark.plans.probe import run_all, run_probe
+from tidemark.plans.probe import ScanBudgetExceeded, check_scans, run_all, run_probe, scans
 from tidemark.sources.deliver import deliver, git
 from tidemark.sources.store import TABLES, ParquetStore, Run, StoreError
 from tidemark.sources.tables import column_types, draft_config, match_roles
@@ -234,6 +234,15 @@ def test_via_join(spark):
     assert C.global_row(K.staging(base, probe, AS_OF, twice)).first()["lookup_dup_max"] == 2
 
 
+def test_scan_budget(spark, tmp_path):
+    frame(spark, [(AS_OF, AS_OF, 1)]).write.parquet(str(tmp_path / "t"))
+    staged = K.staging(spark.read.parquet(str(tmp_path / "t")), PROBE, AS_OF)
+    assert scans(C.canonical_cells(staged)) == 1
+    check_scans([staged] * 3, 1)
+    with pytest.raises(ScanBudgetExceeded):
+        check_scans([staged] * 4, 1)
+
+
 def test_days(spark):
     row = spark.range(1).select(F.datediff(F.lit("2026-01-02 00:00:00").cast("timestamp_ntz"), F.lit("2026-01-01 23:59:59").cast("timestamp_ntz")).alias("d"), elapsed_days(F.lit("2026-01-01 12:00:00").cast("timestamp_ntz"), F.lit("2026-01-03 00:00:00").cast("timestamp_ntz")).alias("e")).first()
     assert (row["d"], row["e"]) == (1, 1.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
@@ -30,7 +31,26 @@ class Result:
     side: A.Side | None = None
 
 
-def _pass(spark: SparkSession, cells: DataFrame, world: DataFrame, result: callable, cap: int) -> tuple[list[dict], dict]:
+#: Times that a probe's passes may read its tables, together.
+SCAN_BUDGET = 3
+
+
+class ScanBudgetExceeded(ValueError):
+    """The plans read the tables more often than the budget allows."""
+
+
+def scans(*frames: DataFrame) -> int:
+    """Table reads in the optimised plans."""
+    return sum(f._jdf.queryExecution().optimizedPlan().collectLeaves().size() for f in frames)
+
+
+def check_scans(frames: list[DataFrame], tables: int, budget: int = SCAN_BUDGET) -> None:
+    """Raise before anything runs where the plans read more than budget times each table."""
+    if (n := scans(*frames)) > budget * tables:
+        raise ScanBudgetExceeded(f"{n} reads of {tables} tables, budget {budget} each")
+
+
+def _pass(cells: DataFrame, world: Callable, result: Callable, cap: int) -> tuple[list[dict], dict]:
     """Cells and the global row, by one job each over kept cells; only cells within the cap reach the driver."""
     cells = cells.persist()
     try:
@@ -41,26 +61,22 @@ def _pass(spark: SparkSession, cells: DataFrame, world: DataFrame, result: calla
         cells.unpersist()
 
 
-def canonical(spark: SparkSession, base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None) -> tuple[list[dict], dict, int | None]:
+def canonical(staged: DataFrame, probe: Probe) -> tuple[list[dict], dict, int | None]:
     """Cells, the global row and the number of distinct keys.
 
-    Without a via join the global row is summed from the kept cells, so the table is scanned once, and once more for keys.
+    The global row is summed from the kept cells, so the table is read once, and once more for keys.
     """
-    staged = K.staging(base, probe, as_of, lookup)
     cells = C.canonical_cells(staged, probe.batch_col is not None, probe.alt_col is not None)
-    simple = probe.event_time_via is None
-    rows, world = _pass(spark, cells, (C.derived_global_row if simple else lambda _: C.global_row(staged)), C.result_cells, probe.analysis.result_cell_cap)
+    rows, world = _pass(cells, C.derived_global_row, C.result_cells, probe.analysis.result_cell_cap)
     if (world["lookup_dup_max"] or 0) > 1:
         raise JoinNotUnique(probe.event_time_via.table)
     keys = C.distinct_keys(staged).first()[0] if probe.key_cols else None
     return rows, world, keys
 
 
-def dual(spark: SparkSession, base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None) -> tuple[list[dict], dict]:
-    staged = K.dual_staging(base, probe, as_of, lookup)
+def dual(staged: DataFrame, probe: Probe) -> tuple[list[dict], dict]:
     derive = lambda cells: C.derived_global_row(cells, C.DUAL_MONTH_LAG, C.DUAL_GLOBAL)
-    world = derive if probe.event_time_via is None else lambda _: C.dual_global_row(staged)
-    return _pass(spark, C.dual_cells(staged), world, C.dual_result_cells, probe.analysis.result_cell_cap)
+    return _pass(C.dual_cells(staged), derive, C.dual_result_cells, probe.analysis.result_cell_cap)
 
 
 def _text(value) -> str | None:
@@ -98,12 +114,18 @@ def run_probe(spark: SparkSession, source: dict, probe: Probe, as_of: datetime,
             lookup = read_table(spark, source, via.table)
             column_types(lookup, [*(b for _, b in via.on), via.column])
             assert_unique(lookup, via)
-        cells, world, keys = canonical(spark, base, probe, as_of, lookup)
-        two = dual(spark, base, probe, as_of, lookup) if probe.source_insert_time else None
+        staged = K.staging(base, probe, as_of, lookup)
+        second = K.dual_staging(base, probe, as_of, lookup) if probe.source_insert_time else None
+        planned = [staged, *([staged] if probe.key_cols else []), *([second] if second is not None else [])]
+        check_scans(planned, 1 + (via is not None))
+        cells, world, keys = canonical(staged, probe)
+        two = dual(second, probe) if second is not None else None
     except KeyError as e:
         return stop(Status("probe", "RED", "missing_table", f"column {e}"))
     except JoinNotUnique as e:
         return stop(Status("probe", "RED", "join_not_unique", str(e)))
+    except ScanBudgetExceeded as e:
+        return stop(Status("probe", "RED", "scan_budget_exceeded", str(e)))
     except C.CellCapExceeded as e:
         return stop(Status("probe", "RED", "result_cell_cap_exceeded", str(e)))
 
