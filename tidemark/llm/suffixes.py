@@ -28,7 +28,7 @@ KERNEL_BYTES = 1 << 19
 #: Runs of a task that are compared before the shuffle.
 COMBINE = 250_000
 #: Bytes of runs whose suffixes are sorted at once in the last pass, and of a group beyond which it goes by single suffixes.
-SORT_BYTES, LAST_BYTES = 1 << 20, 256 << 10
+SORT_BYTES, LAST_BYTES = 1 << 20, 8 << 20
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
