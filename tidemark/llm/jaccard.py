@@ -29,7 +29,7 @@ FREQUENT = 1 << 18
 #: Count within one such run of documents from which an element is reported, and total from which it is frequent.
 LOCAL, TOTAL = 3, 12
 #: Elements after which a task's counts of frequent elements are taken.
-COUNT_AT = 2_000_000
+COUNT_AT = 5_000_000
 #: Elements of a block that one task joins; larger ones are dealt out as pairs of parts.
 BLOCK = 3_000_000
 #: Bits of the sieve for members of blocks: one megabyte to each task, whatever the corpus.
