@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import public_path
-from tidemark.llm.common import staged
+from tidemark.llm.common import keyed, staged
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.packing import best_fit
 from tidemark.llm.quality import quality_filter
@@ -23,9 +23,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that links of 0.8 similarity join."""
-    kept = jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group that links of 0.8 similarity join: of the smallest doc_id, a missing one last.
+
+    Rows are told apart by a key of their own, so a row without doc_id stays where it is the only one of its group, and of
+    repeated rows one stays. Rows without words have no group and stay.
+    """
+    rows = keyed(docs)
+    groups = jaccard_components(rows.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id")
+    ids = rows.select("key", F.col("doc.doc_id").cast("long").alias("id"))
+    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    return rows.join(first.select("first.key"), "key", "left_semi").select("doc.*")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,49 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.run(spark, sf).count() == now.count()
 
 
+def test_pipeline_keeps_rows_apart(spark, odd, empty):
+    rnd = random.Random(12)
+    say = lambda tag, n: " ".join(f"{tag}{rnd.randint(0, 10**6)}" for _ in range(n))
+    twice, alone, passage = say("t", 60), say("n", 60), say("p", 40)
+    live = say("k", 30) + " password=Tr0ub4dor-3xyz " + say("l", 30)
+    rows = [(20, twice, "s1"), (20, twice, "s1"), (None, alone, "s1"), (None, alone, "s2"), (None, live, "s3"), (21, say("q", 60), "s1"), (21, say("r", 50), "s1")]
+    # rows that share an id and a passage, at other places
+    rows += [(22, say("v", 30) + passage, "s1"), (22, passage + say("w", 70), "s2"), (None, twice + " end", "s1")]
+    more = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d = odd.unionByName(more, allowMissingColumns=True).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df: stages[name](spark, df, "/root/testdata/sf0.001").cache()
+    pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    # linked rows leave one; rows without words all stay
+    one = run("near_duplicates", d)
+    before, found = pairs(d), pairs(one)
+    assert found[20, twice] == 1 == found[None, alone] == found[None, live] and (None, twice + " end") not in found
+    gone = {(20, twice): 1, (None, alone): 1, (None, twice + " end"): 1}
+    said = next(t for i, t in before if i == 5)
+    gone |= {(5, said): 1, (6, said): 1, (None, "a b c d e f g h"): 1, (9, "ONE two\tthree"): 1}
+    assert before - found == gone and not found - before and one.columns == d.columns
+
+    # each row loses its own bytes alone
+    cut = run("passages", one)
+    order = sorted(found.elements(), key=str)
+    plain = Counter((i, n - k) for (i, _), (n, k, *_) in zip(order, plain_repeats([t or "" for _, t in order], 200)))
+    assert Counter((r["doc_id"], len((r["text"] or "").encode())) for r in cut.collect()) == plain
+
+    clean = run("secrets", cut)
+    assert sum("[SECRET]" in (t or "") for _, t in pairs(clean)) == 1 and not any("Tr0ub4dor" in (t or "") for _, t in pairs(clean))
+    assert pairs(cut) - pairs(clean) == {(None, live): 1} and clean.columns == d.columns
+
+    rows = run("packing", clean).collect()
+    check_packing(rows, [(i, t or "") for i, t in pairs(clean).elements()], 2048)
+
+    for now, n in ((d, None), (empty, 0)):
+        for name in stages:
+            now = run(name, now)
+            assert n is None or now.count() == n
+    assert run("near_duplicates", run("quality", empty)).columns == empty.columns
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 

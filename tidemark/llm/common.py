@@ -101,6 +101,20 @@ def real_id(c: str) -> F.Column:
     return F.when(F.col(c) < STAND_IN, F.col(c)).alias(c)
 
 
+#: What parts the keys of neighbouring tasks: low bits of a key differ between tasks as well.
+KEY_STEP = 5_184_337
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key and doc: every row of docs as one struct, staged beside a number that no other row has, below STAND_IN.
+
+    Operators that give rows back join by it: ids may be missing, or shared by rows.
+    """
+    task, at = F.spark_partition_id().cast("long"), F.monotonically_increasing_id() % (1 << 33)
+    key = F.call_function("shiftleft", task, F.lit(33)) + (at + task * KEY_STEP) % (1 << 33)
+    return staged(docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "keyed")
+
+
 def utf8_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets from 0) for runs of rows of at most limit bytes, or one longer row."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import keyed, staged
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -106,17 +106,21 @@ REDACTED = "[SECRET]"
 def redact_live(docs: DataFrame, owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The rows of docs with live-looking secrets replaced; copied examples stay, and so does every document.
 
-    Overlapping spans are replaced once. n_chars, where docs has it, follows the text.
+    Overlapping spans are replaced once. Spans go by row, so rows without doc_id, or that share one, are redacted like any
+    other. n_chars, where docs has it, follows the text.
     """
-    spans = secret_scan(docs, owner_col, max_owners, keep_live=True).where(F.size("live") > 0).groupBy(F.col("doc_id").alias("s_id")).agg(F.first("live").alias("live"))
+    rows = keyed(docs)
+    scanned = rows.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"), F.col(f"doc.`{owner_col}`").alias("owner"))
+    spans = secret_scan(scanned, "owner", max_owners, keep_live=True).where(F.size("live") > 0).select(F.col("doc_id").alias("key"), "live")
 
     def step(a, x):
-        gap = F.substring("text", a["at"] + 1, x["start"] - a["at"])
+        gap = F.substring("doc.text", a["at"] + 1, x["start"] - a["at"])
         return F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], gap, F.lit(REDACTED)).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(F.aggregate("live", start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text")))))
-    joined = docs.join(spans, docs["doc_id"] == spans["s_id"], "left").withColumn("text", text)
+    text = F.when(F.col("live").isNull(), F.col("doc.text")).otherwise(F.aggregate("live", start, step, lambda a: F.concat(a["out"], F.substring("doc.text", a["at"] + 1, F.length("doc.text")))))
+    new = {"text": F.col("text")}
+    joined = rows.join(spans, "key", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("live").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

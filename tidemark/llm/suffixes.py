@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, map_arrow, real_id, staged, stand_in_id, utf8_chunks
+from tidemark.llm.common import id_text, keyed, map_arrow, real_id, staged, utf8_chunks
 from tidemark.llm.jaccard import mix
 
 #: Bytes of a repeated string, and of a gram.
@@ -299,9 +299,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows of docs with the bytes removed that remove_repeats removes; cut characters go, n_chars follows the text."""
-    spans = repeated(id_text(docs, stand_in=True), length, gram).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list("low").alias("s_low"), F.collect_list("end").alias("s_end"))
-    joined = docs.withColumn("s_id", stand_in_id()).join(spans, "s_id", "left").drop("s_id")
+    """The rows of docs with the bytes removed that remove_repeats removes; cut characters go, n_chars follows the text.
+
+    Stretches go by row, so that rows which share a doc_id but not their text lose their own bytes alone.
+    """
+    rows = keyed(docs)
+    spans = repeated(id_text(rows.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"))), length, gram)
+    spans = spans.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("low").alias("s_low"), F.collect_list("end").alias("s_end"))
+    joined = rows.join(spans, "key", "left").select("doc.*", "s_low", "s_end")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
