@@ -24,6 +24,12 @@ def test_grouping_sets_scan_once_with_one_exchange(spark):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["via_join_cells", "via_guard", "via_ambiguous", "parity_months"])
+def test_no_order_is_filtered_by_its_key(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "o_orderkey" in x]
+
+
 def test_entry_gives_rows(spark):
     import __spark_entry__ as e
 
