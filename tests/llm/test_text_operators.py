@@ -111,6 +111,34 @@ def test_ownership_separates_examples(spark):
     assert out[0]["text"] == rows[0][1] and len(out) == 6
 
 
+def test_widely_copied_candidates_of_one_owner_are_examples(spark):
+    key, own = "AKIA" + "COPIED0123456789", "AKIA" + "OWNED00123456789"
+    rows = [(i, f"use {key} here", "s") for i in range(secrets.MAX_REPOSITORIES + 1)] + [(99, own, "s")]
+    found = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found[0] == (0, 1) and found[99] == (1, 0)
+
+
+def test_a_text_of_100_000_hits(spark):
+    """No state grows with the square of a text's hits."""
+    hits = [f"{i:024x}" for i in range(100_000)]
+    d = spark.createDataFrame([(1, " ".join(hits), "s")], "doc_id long, text string, source string")
+    r = secrets.secret_scan(d).first()
+    assert r["n_hex"] == 100_000 and r["spans"].endswith(f"hex:{25 * 99_999}:{25 * 99_999 + 24}")
+    assert secrets.redact_live(d).first()["text"] == " ".join(["[SECRET]"] * 100_000)
+
+
+def test_redaction_of_odd_tables(spark, odd, empty):
+    own = "AKIA" + "OWNED00123456789"
+    more = spark.createDataFrame([(None, f"é {own} é", "s1"), (20, f"{own}", "s1"), (20, "é" * 9 + f" token={own} x {own}", None), (21, own[:19], "s")], "doc_id long, text string, source string")
+    d = odd.unionByName(more, allowMissingColumns=True).withColumn("s_id", secrets.F.lit(1))
+    out = secrets.redact_live(d)
+    assert out.schema.names == d.schema.names
+    told = lambda f: sorted(((r["doc_id"], r["text"]) for r in f.collect()), key=str)
+    expected = [(i, None if t is None else re.sub(f"token={own}|{own}|{LONG}", "[SECRET]", t)) for i, t in told(d)]  # LONG is hexadecimal
+    assert told(out) == sorted(expected, key=str)
+    assert secrets.redact_live(empty).count() == 0
+
+
 # BPE
 
 

@@ -23,12 +23,12 @@ _HITS = " UNION ALL ".join(
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
 h AS (SELECT *, low + length(value) AS high, sha256(CASE WHEN kind = 0 THEN regexp_extract(value, '{_PATTERNS[0]}', 2) ELSE value END) AS hash FROM ({_HITS})),
-o AS (SELECT hash, count(DISTINCT owner) AS owners, count(DISTINCT doc_id) AS repositories FROM h GROUP BY 1),
-j AS (SELECT h.*, owners, repositories FROM h JOIN o USING (hash) WHERE kind < 3 OR (owners <= 2 AND NOT EXISTS (SELECT 1 FROM h b WHERE b.row = h.row AND b.kind < 3 AND b.low < h.high AND b.high > h.low))),
+o AS (SELECT hash, count(DISTINCT owner) AS owners, count(DISTINCT coalesce(doc_id, -row)) AS repositories FROM h GROUP BY 1),
+j AS (SELECT h.*, owners <= 2 AND repositories <= 16 AS live, repositories FROM h JOIN o USING (hash) WHERE kind < 3 OR (owners <= 2 AND repositories <= 16 AND NOT EXISTS (SELECT 1 FROM h b WHERE b.row = h.row AND b.kind < 3 AND b.low < h.high AND b.high > h.low))),
 t AS (SELECT *, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || low || ':' || high AS told FROM j)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
  sha256(coalesce(string_agg(told, ',' ORDER BY low, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(told, ',' ORDER BY low, kind), '') AS spans,
- count(*) FILTER (kind = 3) AS n_opaque, count(*) FILTER (owners <= 2) AS n_live, count(*) FILTER (owners > 2) AS n_example, CAST(coalesce(max(repositories), 0) AS BIGINT) AS max_repositories
+ count(*) FILTER (kind = 3) AS n_opaque, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, CAST(coalesce(max(repositories), 0) AS BIGINT) AS max_repositories
 FROM d LEFT JOIN t USING (row) GROUP BY d.row, d.doc_id
 """
 
