@@ -210,7 +210,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of values added up by at."""
-    flat = values.reshape(len(values), -1)
+    flat = values.reshape(len(values), int(np.prod(values.shape[1:])))
     return np.stack([np.bincount(at, flat[:, k], n) for k in range(flat.shape[1])], 1).reshape(n, *values.shape[1:])
 
 
