@@ -60,6 +60,11 @@ def test_pages_labelled_by_hand(model):
     assert f1 >= 0.95
 
 
+def test_little_markup(model):
+    said = ["The first thing that was said.", "Then there was nothing more to say about it"]
+    assert model.extract(["\n ".join(said), "", "<p>".join(said), "<h2>A title</h2>" + "".join(f"<p>{x}</p>" for x in said)]) == ["\n\n".join(x) for x in ([" ".join(said)], [], said, ["A title", *said])]
+
+
 @pytest.mark.parametrize("depth", [0, 1, 3, 6, 10, 20, 50, 200, 3000])
 def test_wrappers_of_any_depth(model, depth):
     blocks = "<p>The first thing that was said.</p><p>The second thing, which is longer than the first.</p>"

@@ -340,10 +340,13 @@ def labelled_pages(n: int = 420, seed: int = 11) -> list[tuple[str, list[bool]]]
             body += some(["ad", "share", "form", "notice", "menu", "plain aside"], 0.03)
         body += some(["share", "related", "comments"], 0.2)
         body = wrapped(body, 0.3, 8)
-        layout = rnd.choice(["<article>{}</article>"] * 6 + ["<main>{}</main>", "<main><article>{}</article></main>", "<article><section>{}</section></article>", "<div " + named("content article post story entry main entry-content post-body article-body") + ">{}</div>", '<div id="main"><div class="post">{}</div></div>'])
+        layout = rnd.choice(["<article>{}</article>"] * 6 + ["{}", "{}", "<main>{}</main>", "<main><article>{}</article></main>", "<article><section>{}</section></article>", "<div " + named("content article post story entry main entry-content post-body article-body") + ">{}</div>", '<div id="main"><div class="post">{}</div></div>'])
         main = wrapped(layout.format(body), 0.3, 3)
         page = wrapped(f"{before}{main}{some(['comments', 'aside', 'related', 'ad', 'form', 'list'], 0.3)}{some(['footer'] if rnd.random() < 0.8 else ['foot'], 0.95)}", 0.2, 3)
         page = f"<html><head><title>x</title></head><body>{page}</body></html>"
+        if rnd.random() < 0.04:  # text without markup, or with little
+            parts.clear()
+            page = yes(1, 60) if rnd.random() < 0.5 else f"<p>{yes(1, 60)}</p><p>{yes(1, 60)}</p>"
         order = {text: good for text, good in parts}
         out.append((page, [order[t] for t in parse(page).text if t is not None]))
     return out
