@@ -160,7 +160,9 @@ def test_jaccard_on_documents_and_odd_tables(docs, odd, empty):
     assert by[None]["component_id"] == 7 == by[7]["component_id"]  # a row without an id joins the group of its text
 
 
-def test_search_is_exact():
+@pytest.mark.parametrize("heap", [0, jaccard.HEAP])
+def test_search_is_exact(monkeypatch, heap):
+    monkeypatch.setattr(jaccard, "HEAP", heap)  # 0: all short lists are counted by one array
     rnd = np.random.default_rng(0)
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(5, 40)).astype(np.uint64)) for _ in range(120)]
     index = jaccard.Index(sets)
@@ -170,6 +172,41 @@ def test_search_is_exact():
         assert dict(zip(found.tolist(), overlap.tolist())) == {y: n for y, n in expected.items() if n >= jaccard.least_overlap(len(sets[x]))}
 
 
+def test_merge_skip_is_exact():
+    rnd = random.Random(2)
+    for _ in range(300):
+        lists = [sorted(rnd.sample(range(40), rnd.randint(0, 25))) for _ in range(rnd.randint(1, 9))]
+        for least in range(1, len(lists) + 1):
+            count = Counter(x for y in lists for x in y)
+            found, counts = jaccard.merge_skip(lists, least)
+            assert list(zip(found.tolist(), counts.tolist())) == sorted((x, n) for x, n in count.items() if n >= least)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_under_polynomials(spark):
+    """A Thue-Morse string and its complement share every polynomial hash modulo a power of two."""
+    rows = []
+    for k in (64, 512, 1024, 4096):
+        one = thue_morse(k)
+        rows += [one, one.translate(str.maketrans("ab", "ba"))]
+    found = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found)
+    same_repeats(spark, [*rows, "x" + rows[4] + "y"], 200, 64)
+
+
+def test_words_of_all_lengths():
+    words = [b"x" * n + bytes([c]) for n in range(140) for c in b"abcz"] + [b"b" + b"x" * n for n in range(140)]
+    words = list(dict.fromkeys(words))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    hashes = jaccard._words(data, np.array([0, len(data)]), 5)[0]
+    assert len(set(hashes.tolist())) == len(words)
+    upper = jaccard._words(np.frombuffer(b" ".join(words).upper(), np.uint8), np.array([0, len(data)]), 5)[0]
+    assert (hashes == upper).all()
+
+
 def check_packing(rows, texts, size):
     t = tokenizer(WORD_FILE)
     expected = Counter()

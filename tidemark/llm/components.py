@@ -21,16 +21,12 @@ def _star(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     return out, tuple(stats)
 
 
-def connected_components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) of every node of the links (a, b): root is the smallest id it reaches. Loops and repeated links are ignored."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    for _ in range(most):
-        now, stats = _star(now, name)
-        if stats == before:
-            break
+    before, stats = None, ()
+    while stats != before:  # steps grow with the logarithm of the nodes
         before = stats
-    else:
-        raise RuntimeError(f"no end after {most} steps")
+        now, stats = _star(now, name)
     roots = now.groupBy("b").agg(F.first("b").alias("root")).select(F.col("b").alias("id"), "root")
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)

@@ -9,7 +9,11 @@ exactly by DivideSkip.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
+import random
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +39,14 @@ BLOCK = 3_000_000
 #: Bits of the sieve for members of blocks: one megabyte to each task, whatever the corpus.
 BITS = 1 << 23
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes of a word that are hashed eight at a time; longer words are hashed by BLAKE2.
+SHORT_WORD = 64
+#: Postings of short lists up to which they are merged by a heap; beyond, one array counts them for all members at once.
+HEAP = 2_000
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,57 +56,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _SHIFT = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)) | np.uint64(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n at least."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers, _inverse = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, inverse))
-    return _powers, _inverse
+def blanks(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
 
+def _words(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of the first word of each document and of the end).
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of the first word of each document and of the end)."""
-    low = _LOWER[data]
-    space = (low == 32) | ((low >= 9) & (low <= 13))
-    edge = np.zeros(len(low) + 1, bool)
+    A word's bytes go eight at a time into a chain of bijections that starts from its length and the seed, so no two words
+    of up to eight bytes share a hash.
+    """
+    low = np.concatenate((_LOWER[data], np.zeros(8, np.uint8)))
+    word = ~blanks(low[:-8])
+    edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    start = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | edge[:-1]))
-    end = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | edge[1:])) + 1
-    up, down = powers(len(low) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[low] * up[: len(low)])))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, offsets)
+    start = np.flatnonzero(word & (np.concatenate(([True], ~word[:-1])) | edge[:-1]))
+    end = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1
+    size = end - start
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), low, strides=(1,))
+    out = mix(size.astype(np.uint64) ^ np.uint64(seed))
+    some = np.arange(len(start))
+    for at in range(0, SHORT_WORD, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (eight[start[some] + at] & _MASK[np.minimum(size[some] - at, 8)]))
+    key = int(seed).to_bytes(8, "little")
+    for i in some[size[some] > SHORT_WORD]:
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out, np.searchsorted(start, offsets)
 
 
-def _long_words(data: np.ndarray) -> np.ndarray:
+def _long_words(data: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of one document's words, by stretches that end at white space."""
     out, at = [], 0
     while at < len(data):
-        end = at + 2 * KERNEL_BYTES
-        while end < len(data) and data[end] != 32 and not 9 <= data[end] <= 13:
-            end += 1
-        out.append(_words(data[at:end], np.array([0, min(end, len(data)) - at]))[0])
+        end = min(at + 2 * KERNEL_BYTES, len(data))
+        while end < len(data):
+            some = np.flatnonzero(blanks(data[end : end + KERNEL_BYTES]))
+            if len(some):
+                end += int(some[0])
+                break
+            end = min(end + KERNEL_BYTES, len(data))
+        out.append(_words(data[at:end], np.array([0, end - at]), seed)[0])
         at = end
     return np.concatenate(out)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each document's shingles; documents are data[offsets[i]:offsets[i + 1]]."""
     n = len(offsets) - 1
     out = [np.zeros(0, np.uint64)] * n
     if not len(data):
         return out
     if n == 1 and len(data) > 2 * KERNEL_BYTES:
-        word = _long_words(data)
+        word = _long_words(data, seed)
         first = np.array([0, len(word)])
     else:
-        word, first = _words(data, offsets)
+        word, first = _words(data, offsets, seed)
     counts = np.diff(first)
     if len(word) >= words:
         rows = len(word) - words + 1
@@ -119,12 +136,12 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ _SHIFT[62]).sum().view(np.int64)), int(mix(s + _SHIFT[63]).sum().view(np.int64))
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for i, _, data, offsets in utf8_chunks(batch, limit=KERNEL_BYTES):
-        yield i, shingle_sets(data, offsets)
+        yield i, shingle_sets(data, offsets, seed=seed)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, d1, d2, null, null) of each document, and (null..., element, count) of elements frequent in a task."""
     held: list[np.ndarray] = []
     size = 0
@@ -138,7 +155,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "d1", "d2", "element", "count"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for i, sets in _sets(batch):
+        for i, sets in _sets(batch, seed):
             rows = [(ids[i + k], len(s), *(digest(s) if len(s) else (None, None)), None, None) for k, s in enumerate(sets)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names)
             held += [s for s in sets if len(s)]
@@ -162,7 +179,7 @@ def rarest(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, n: int) -> np.
     return np.concatenate((cold, late[np.argsort(rank[at[hot]], kind="stable")][: n - len(cold)]))
 
 
-def _prefixes(frequent: np.ndarray, rank: np.ndarray):
+def _prefixes(frequent: np.ndarray, rank: np.ndarray, seed: int):
     """(doc_id, n, elements): the first pairs of neighbours of each set in the corpus order, once for equal sets of a task.
 
     Each element that one of two sets lacks parts at most one pair of common neighbours, so partners of sizes n and m share
@@ -174,7 +191,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, sets in _sets(batch):
+            for i, sets in _sets(batch, seed):
                 rows = []
                 for k, s in enumerate(sets):
                     if len(s) < 4 or (d := digest(s)) in seen:
@@ -250,20 +267,52 @@ class Index:
         longest = int(lengths[-1])
         aside = min(least - 1, int(least / (0.0085 * math.log2(longest + 1) + 1)))  # of DivideSkip's published tuning
         short = len(lists) - aside
-        counts = np.bincount(flat_gather(self.members, self.starts[lists[:short]], lengths[:short]), minlength=len(self.sizes))
-        found = np.flatnonzero(counts >= least - aside)
+        least_short = least - aside
+        if int(lengths[:short].sum()) <= HEAP:
+            found, counts = merge_skip([self.members[a : a + n].tolist() for a, n in zip(self.starts[lists[:short]], lengths[:short])], least_short)
+        else:
+            counts = np.bincount(flat_gather(self.members, self.starts[lists[:short]], lengths[:short]), minlength=len(self.sizes))
+            found = np.flatnonzero(counts >= least_short)
+            counts = counts[found]
         long = lists[short:]
         if len(found) * len(long) * math.log2(len(self.keys) + 1) > int(lengths[short:].sum()):  # merging is the cheaper of the two
-            counts += np.bincount(flat_gather(self.members, self.starts[long], lengths[short:]), minlength=len(self.sizes))
-            counts = counts[found]
+            counts = counts + np.bincount(flat_gather(self.members, self.starts[long], lengths[short:]), minlength=len(self.sizes))[found]
         else:
             probe = (long[:, None] * len(self.sizes) + found).reshape(-1)
             at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            counts = counts[found] + (self.keys[at] == probe).reshape(len(long), len(found)).sum(0)
+            counts = counts + (self.keys[at] == probe).reshape(len(long), len(found)).sum(0)
         keep = counts >= least
         return found[keep], counts[keep]
 
 
+def merge_skip(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, lists that hold them) of all members that least of the sorted lists hold, by a heap of their heads.
+
+    Where too few heads are equal, the least - 1 smallest are taken off together: nothing before the next head can be held
+    often enough, so those lists jump to it.
+    """
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    place = [0] * len(lists)
+    found, counts = [], []
+    while len(heap) >= least:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= least:
+            found.append(top)
+            counts.append(len(taken))
+            goal = top + 1
+        else:
+            taken += [heapq.heappop(heap)[1] for _ in range(least - 1 - len(taken))]
+            goal = heap[0][0]
+        for i in taken:
+            place[i] = bisect_left(lists[i], goal, place[i])
+            if place[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][place[i]], i))
+    return np.array(found, np.int64), np.array(counts, np.int64)
+
+
 def join_block(ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], two: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(smallest id reached, weight of linked members) of each member; with two, links within a part are left out."""
     index = Index(sets)
@@ -291,7 +340,7 @@ def join_block(ids: np.ndarray, weights: np.ndarray, parts: np.ndarray, sets: li
     return np.array([ids[root(i)] for i in range(len(ids))]), links
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, i, j, part, doc_id, weight, text) sorted by (block, i, j): one block after another."""
     key, held = None, []
 
@@ -304,7 +353,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         block, i, j, part, ids, weight = (batch.column(k).to_pylist() for k in range(6))
-        for at, sets in _sets(batch):
+        for at, sets in _sets(batch, seed):
             for k, s in enumerate(sets, at):
                 if (now := (block[k], i[k], j[k])) != key:
                     if len(held) > 1:
@@ -334,7 +383,8 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     in pairs of parts, each part meeting every other, so that nothing is capped.
     """
     d = id_text(docs, stand_in=True)
-    described = staged(d.transform(map_arrow, _describe, "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
+    seed = random.SystemRandom().getrandbits(64)  # no text can be written to collide with another; it changes no result
+    described = staged(d.transform(map_arrow, lambda batches: _describe(batches, seed), "doc_id long, n long, d1 long, d2 long, element long, count long"), "described")
     meta = described.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
     counts = staged(described.where("element is not null").groupBy("element").agg(F.sum("count").alias("count")).where(F.col("count") >= TOTAL), "counts")
     least, held = TOTAL, 0  # the smallest power of two above which there are few enough
@@ -346,7 +396,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     often = sorted((r["element"] % (1 << 64), r["count"]) for r in counts.where(F.col("count") >= least).collect())
     frequent, rank = np.array([e for e, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
     classes = staged(meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n")), "classes")
-    links = candidate_links(d.transform(map_arrow, _prefixes(frequent, rank), "doc_id long, n long, elements array<long>"))
+    links = candidate_links(d.transform(map_arrow, _prefixes(frequent, rank, seed), "doc_id long, n long, elements array<long>"))
     of = meta.join(classes, ["d1", "d2"]).select("doc_id", "class_id").distinct()
     for end in ("a", "b"):
         links = links.join(of.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"class_{end}")), end)
@@ -359,7 +409,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     bits = member_bits(members, "class_id")
     rows = d.transform(map_arrow, lambda batches: _only(batches, bits), "doc_id long, text string").join(rows, "doc_id").select("block", "i", "j", "part", "doc_id", "weight", "text")
     rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    joined = staged(rows.transform(map_arrow, _join_blocks, "doc_id long, root long, links long"), "joined")
+    joined = staged(rows.transform(map_arrow, lambda batches: _join_blocks(batches, seed), "doc_id long, root long, links long"), "joined")
     links = joined.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("last"))
     if joined.groupBy("doc_id").count().where("count > 1").head(1):
         roots = connected_components(joined.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "roots").withColumnRenamed("id", "doc_id")
