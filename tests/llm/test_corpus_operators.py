@@ -182,6 +182,30 @@ def test_merge_skip_is_exact():
             assert list(zip(found.tolist(), counts.tolist())) == sorted((x, n) for x, n in count.items() if n >= least)
 
 
+def test_products_modulo_the_prime():
+    rnd = random.Random(4)
+    p = int(suffixes.PRIME)
+    a = [0, 1, p - 1, p - 2, 1 << 60, (1 << 32) - 1, 1 << 32, *(rnd.randrange(p) for _ in range(3000))]
+    b = a[::-1]
+    assert suffixes.multiply(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b)]
+    base = suffixes.draw_base()
+    data = np.array([rnd.randrange(256) for _ in range(3000)], np.uint8)
+    h = suffixes.Strong(data, base)
+    for start, size in ((0, 3000), (17, 200), (2999, 1), (5, 0)):
+        expected = sum((int(x) + 1) * pow(base, i, p) for i, x in enumerate(data[start : start + size])) % p
+        assert h(np.array([start]), np.array([size])).tolist() == [expected]
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 16, 21])
+def test_radix_groups_equal_brute_force(depth):
+    rnd = random.Random(depth)
+    data = np.frombuffer("".join(rnd.choice("ab" if depth > 7 else "abcdefgh") for _ in range(1500)).encode(), np.uint8)
+    start = np.arange(len(data) - depth + 1)
+    group = np.array([rnd.randrange(3) for _ in start])
+    seen = Counter((g, data[i : i + depth].tobytes()) for g, i in zip(group, start))
+    assert suffixes.radix_groups(data, start, group, depth).tolist() == [seen[g, data[i : i + depth].tobytes()] > 1 for g, i in zip(group, start)]
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
