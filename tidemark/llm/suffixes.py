@@ -375,13 +375,13 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     rows = keyed(docs)
     spans = repeated(id_text(rows.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text"))), length, gram)
     spans = spans.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_list(F.struct("low", "end"))).alias("spans"))
-    joined = rows.join(spans, "key", "left").select("doc.*", "spans")
+    joined = rows.join(spans, "key", "left").select("doc", "spans")
     names = docs.columns
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, found = batch.columns[:-1], batch.columns[-1].to_pylist()
+            columns, found = batch.column(0).flatten(), batch.column(1).to_pylist()
             out = []
             for spans, text in zip(found, columns[at_text]):
                 if spans is None or not text.is_valid:
