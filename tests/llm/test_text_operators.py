@@ -167,7 +167,14 @@ def test_every_vocabulary_word_is_merged_as_the_library_does():
 def test_tree_joins_equal_one_pass():
     c = ByteBPE(public_path("byte_bpe_50k.json"))
     for text in (LONG[:5000], "é漢\U0001f600" * 200, "antidisestablishmentarianism" * 50):
-        assert tree_encode(text, c._encode, c.raw, c._batch, 16) == c._encode(text)
+        for wide in (1 << 10, 4):  # by threads, where a level is as wide
+            assert tree_encode(text, c._encode, c.raw, c._batch, 16, wide) == c._encode(text)
+
+
+def test_added_tokens_and_separators_part_long_text():
+    c, t = ByteBPE(public_path("byte_bpe_50k.json")), tokenizer(public_path("byte_bpe_50k.json"))
+    for text in (LONG[:3000] + "<|endoftext|>" + LONG[:3000], "\x1c" * 300 + " a", "a <|endoftext|> \x1f b<|endoftext|><|endoftext", "x \x1d\x1e  \x1c"):
+        assert c.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_encode_documents(odd, empty):

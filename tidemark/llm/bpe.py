@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import repeat
 
 import numpy as np
@@ -18,8 +20,12 @@ from tidemark.llm.common import flat_gather, id_text, map_arrow, texts
 CACHE_UNITS = 300_000
 #: Characters of unsplit text that are encoded whole; longer ones are halved.
 LEAF = 64
+#: Leaves of unsplit text from which threads share the work of a level, and those threads.
+WIDE, THREADS = 1 << 10, 4
+#: White space of the tokenizer's patterns (fixed values of Unicode), to which Python's would add the separators 1C to 1F.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Split pattern of the byte-level vocabulary (a fixed value of the tokenizer).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 _loaded: dict[str, object] = {}
 
@@ -103,12 +109,24 @@ def join(left: list[int], right: list[int], encode, raw: list[bytes], window: in
         window *= 2
 
 
-def tree_encode(text: str, encode, raw: list[bytes], encode_batch=None, leaf: int = LEAF) -> list[int]:
-    """Ids of one unsplit text: leaves are encoded together, then each level of the tree joins its pairs of halves."""
+def tree_encode(text: str, encode, raw: list[bytes], encode_batch=None, leaf: int = LEAF, wide: int = WIDE) -> list[int]:
+    """Ids of one unsplit text: leaves are encoded, then each level of the tree joins its pairs of halves.
+
+    The halves of a level do not depend on one another: from wide leaves on, threads share them. The tokenizers library
+    leaves the interpreter to other threads while it encodes.
+    """
     parts = [text[i : i + leaf] for i in range(0, len(text), leaf)]
-    level = encode_batch(parts) if encode_batch else [encode(p) for p in parts]
-    while len(level) > 1:
-        level = [join(level[i], level[i + 1], encode, raw) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    encode_batch = encode_batch or (lambda some: [encode(p) for p in some])
+
+    def pair(halves: list[list[int]]) -> list[int]:
+        return join(*halves, encode, raw) if len(halves) == 2 else halves[0]
+
+    with ThreadPoolExecutor(THREADS) if len(parts) >= wide else contextlib.nullcontext() as pool:
+        each = pool.map if pool else map
+        groups = [parts[i : i + wide] for i in range(0, len(parts), wide)]
+        level = [ids for some in each(encode_batch, groups) for ids in some]
+        while len(level) > 1:
+            level = list(each(pair, [level[i : i + 2] for i in range(0, len(level), 2)]))
     return level[0] if level else []
 
 
@@ -116,8 +134,8 @@ class ByteBPE:
     """Encodes and decodes like the tokenizers library with a byte-level vocabulary.
 
     A text is cut before each space that a non-space follows: the split pattern always starts there anew, and what stands
-    before is split as if the text ended. Unsplit units over LEAF characters are encoded by tree concatenation. Texts that
-    hold an added token's string go to the library whole.
+    before is split as if the text ended. Unsplit units over LEAF characters are encoded by tree concatenation. The string
+    of an added token is a unit of its own, and parts the text as if it ended there.
     """
 
     def __init__(self, path: str):
@@ -125,11 +143,11 @@ class ByteBPE:
 
         self.t = tokenizer(path)
         added = self.t.get_added_tokens_decoder()
-        self.special = [x.content for x in added.values()]
+        self.special = {x.content: i for i, x in added.items()}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if added else lambda text: [text]
         self.split = regex.compile(PATTERN)
-        self.cut = regex.compile(r"(?= \S)")
-        self.odd = regex.compile(r" (?:\s|$)|[\x1c-\x1f]")
-        self.far = regex.compile(r"[\x1c-\x1f]")
+        self.cut = regex.compile(f"(?= [^{SPACE}])")
+        self.odd = regex.compile(f" (?:[{SPACE}]|$)")
         to_byte = {chr(c): b for c, b in _byte_chars()}
         n = self.t.get_vocab_size(with_added_tokens=True)
         self.raw = [bytes(to_byte[c] for c in self.t.id_to_token(i)) if i not in added else added[i].content.encode() for i in range(n)]
@@ -153,7 +171,7 @@ class ByteBPE:
     def _many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units that start with a space and a non-space are encoded as one text and cut again by their bytes."""
         joined = [u for u in units if len(u) <= LEAF and u[:1] == " " and not u[1:2].isspace() and len(u) > 1]
-        got: dict[str, np.ndarray] = {}
+        got: dict[str, np.ndarray] = {u: np.array([self.special[u]], np.int64) for u in units if u in self.special}
         for i in range(0, len(joined), 2000):
             some = joined[i : i + 2000]
             ids = np.array(self._batch(["".join(some)])[0], np.int64)
@@ -172,21 +190,21 @@ class ByteBPE:
     def encode_texts(self, many: list[str]) -> list[np.ndarray]:
         units: list[str] = []
         ends: list[int] = []
-        whole: dict[int, np.ndarray] = {}
-        for k, text in enumerate(many):
-            if any(s in text for s in self.special) or self.far.search(text):
-                whole[k] = np.array(self._encode(text), np.uint32)
-            elif self.odd.search(text):
-                units += self.cut.split(text)
-            elif text:
-                first, *rest = text.split(" ")
-                if first:
-                    units.append(first)
-                units += [" " + x for x in rest]
+        for text in many:
+            for part in self.apart(text) if any(x in text for x in self.special) else (text,):
+                if part in self.special:
+                    units.append(part)
+                elif self.odd.search(part):
+                    units += self.cut.split(part)
+                elif part:
+                    first, *rest = part.split(" ")
+                    if first:
+                        units.append(first)
+                    units += [" " + x for x in rest]
             ends.append(len(units))
         ids, lengths = self.units.ids(units)
         at = np.concatenate(([0], np.cumsum(lengths)))[np.array([0, *ends])]
-        return [whole[k] if k in whole else ids[at[k] : at[k + 1]] for k in range(len(many))]
+        return [ids[at[k] : at[k + 1]] for k in range(len(many))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode with skip_special_tokens=False: bytes of all ids, invalid UTF-8 replaced."""
