@@ -48,30 +48,106 @@ def test_lookup_tables_and_adpcm():
     assert media.decode_adpcm(b"", 36).tolist() == [] and media.decode_adpcm(b"abc", 36).tolist() == []
 
 
+def plain_adpcm(data, block):
+    out = []
+    for one in (data[i : i + block] for i in range(0, len(data), block)):
+        level, index = int.from_bytes(one[:2], "little", signed=True), min(88, one[2])
+        out.append(level)
+        for byte in one[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(media.STEPS[index])
+                change = (step >> 3) + (step >> 2) * bool(code & 1) + (step >> 1) * bool(code & 2) + step * bool(code & 4)
+                level = max(-32768, min(32767, level - change if code & 8 else level + change))
+                index = max(0, min(88, index + int(media.INDEX_STEP[code])))
+                out.append(level)
+    return out
+
+
+def plain_samples(tag, data):
+    """One sample at a time, by the formats' definitions."""
+    if tag == media.IMA_ADPCM:
+        return plain_adpcm(data, media.BLOCK)
+    out = []
+    for b in data:
+        if tag == media.MULAW:
+            b = ~b & 255
+            size = (((b & 15) << 3) + 132 << (b >> 4 & 7)) - 132
+            out.append(-size if b & 128 else size)
+        else:
+            b ^= 85
+            e, m = b >> 4 & 7, b & 15
+            size = (m << 4) + 8 if not e else (m << 4) + 264 << e - 1
+            out.append(size if b & 128 else -size)
+    return out
+
+
+def plain_feature(x, rate):
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    return f"rate={rate};samples={len(x)};peak={max(map(abs, x))};power={sum(a * a for a in x) // len(x)};crossings={crossings}"
+
+
+def plain_resample(x, rate, to):
+    out = []
+    for i in range(-(-len(x) * to // rate)):
+        left, part = divmod(i * rate, to)
+        out.append((x[left] * (to - part) + x[min(left + 1, len(x) - 1)] * part) // to)
+    return out
+
+
 def test_store_and_read_back():
     raw = bytes(range(256))
     for tag, expand in ((media.MULAW, media.expand_mulaw), (media.ALAW, media.expand_alaw)):
         stored = media.wav_store(raw, tag)
         assert media.wav_read(stored) == (tag, 8000, 1, raw)
-        assert media.decode(stored)[1].tolist() == expand(np.frombuffer(raw, np.uint8)).tolist()
-    rate, pcm = media.decode(media.to_pcm_file(media.wav_store(raw, media.MULAW)))
-    assert rate == 16000 and len(pcm) == 512 and pcm[::2].tolist() == media.expand_mulaw(np.frombuffer(raw, np.uint8)).tolist()
+        assert media.decode(stored)[1].tolist() == expand(np.frombuffer(raw, np.uint8)).tolist() == plain_samples(tag, raw)
+    stored = media.wav_store(raw, media.IMA_ADPCM, 8000, 4, media.BLOCK)
+    assert media.wav_read(stored) == (media.IMA_ADPCM, 8000, media.BLOCK, raw) and media.decode(stored)[1].tolist() == plain_adpcm(raw, media.BLOCK)
+    rate, pcm = media.decode(media.wav_store(raw, media.MULAW))
+    rate, again = media.decode(media.to_pcm_file(pcm, rate))
+    assert rate == 16000 and len(again) == 512 and again[::2].tolist() == pcm.tolist()
     with pytest.raises(ValueError):
         media.wav_read(b"junk")
 
 
-def test_text_media(odd, empty):
-    rows = media.text_media(odd, keep_files=True).collect()
-    assert len(rows) == odd.count() and media.text_media(empty).count() == 0
-    texts = Counter((d, t.encode()) for d, t in texts_of(odd))
-    for r in rows:
-        payload = media.wav_read(bytes(r["media"]))[3]
-        data = payload[: r["n_bytes"]]
-        assert texts[r["doc_id"], data] and len(payload) == r["payload_bytes"] == max(64, -(-len(data) // 64) * 64)
-        assert not payload[len(data) :].strip(b"\0")
-        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
-        assert media.decode(bytes(r["pcm"]))[0] == 16000
+def test_stretches_change_nothing(monkeypatch):
+    pcm = np.random.default_rng(5).integers(-32768, 32768, 1001).astype(np.int16)
+    for stretch in (1 << 16, 1, 7, 100):
+        monkeypatch.setattr(media, "STRETCH", stretch)
+        assert media.features(pcm, 8000) == plain_feature(pcm.tolist(), 8000)
+        for to in (16000, 11025, 6000, 8000):
+            assert media.resample_linear(pcm, 8000, to).tolist() == plain_resample(pcm.tolist(), 8000, to)
+
+
+def test_text_media(spark, docs, odd, empty, tmp_path):
+    seen = set()
+    for d in (odd, docs.limit(60)):
+        rows = media.decode_media(media.store_texts(d)).collect()
+        assert len(rows) == d.count()
+        texts = Counter((i, t.encode()) for i, t in texts_of(d))
+        assert Counter((r["doc_id"], media.wav_read(bytes(r["media"]))[3][: r["n_bytes"]]) for r in rows) == texts
+        for r in rows:
+            tag, rate, _, payload = media.wav_read(bytes(r["media"]))
+            seen.add(tag)
+            assert len(payload) == r["payload_bytes"] == max(64, -(-r["n_bytes"] // 64) * 64) and not payload[r["n_bytes"] :].strip(b"\0")
+            assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+            if len(payload) < 20_000:
+                samples = plain_samples(tag, payload)
+                assert r["feature"] == plain_feature(samples, rate)
+                assert media.decode(bytes(r["pcm"]))[1].tolist() == plain_resample(samples, rate, 16000)
+    assert seen == {media.MULAW, media.ALAW, media.IMA_ADPCM} and media.decode_media(media.store_texts(empty)).count() == 0
+    files = media.store_texts(odd)
+    files.write.parquet(f"{tmp_path}/files")  # files are stored, and decoded from there
+    again = by_id(media.media_digests(media.decode_media(spark.read.parquet(f"{tmp_path}/files"))))
+    assert again == by_id(media.media_digests(media.decode_media(files)))
+
+
+def test_broken_files_have_nulls(spark):
+    good = media.wav_store(b"ab" * 32, media.MULAW)
+    adpcm = media.wav_store(b"x" * 64, media.IMA_ADPCM, 8000, 4, 64)
+    rows = [(1, good), (2, None), (3, b""), (4, b"RIFFxxxxWAVEfmt "), (5, media.wav_store(b"x" * 64, 85)), (6, adpcm[:32] + b"\x03\0" + adpcm[34:]), (7, media.wav_store(b"x" * 70, media.IMA_ADPCM, 8000, 4, 64)), (8, media.wav_store(b"", media.ALAW)), (9, media.wav_store(b"abc", media.PCM, 8000, 16, 2))]
+    found = {r["doc_id"]: r for r in media.decode_media(spark.createDataFrame(rows, "doc_id int, media binary")).collect()}
+    assert [i for i in found if found[i]["feature"] is None] == [2, 3, 4, 5, 6] and found[1]["payload_bytes"] == 64
+    assert media.decode(bytes(found[7]["pcm"]))[1][::2].tolist() == plain_adpcm(b"x" * 70, 64) and found[8]["payload_bytes"] == 0 and "samples=1;" in found[9]["feature"]
 
 
 # secrets

@@ -9,7 +9,7 @@ from tidemark.llm.bpe import encode_documents, public_path
 from tidemark.llm.common import documents
 from tidemark.llm.html import main_text
 from tidemark.llm.jaccard import jaccard_components
-from tidemark.llm.media import text_media
+from tidemark.llm.media import decode_media, media_digests, store_texts
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import best_fit
 from tidemark.llm.pii import personal_data
@@ -20,7 +20,7 @@ from tidemark.llm.toxicity import toxicity
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_media(documents(spark, sf_dir))
+    return media_digests(decode_media(store_texts(documents(spark, sf_dir))))
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
