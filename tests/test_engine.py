@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.cli import main
-from tidemark.config import Analysis, Config, ConfigError, Probe, Via, compose, digest, expand_env, parse_config, redact
+from tidemark.config import Analysis, Campaign, Config, ConfigError, Probe, Via, compose, digest, expand_env, parse_config, redact
 from tidemark.functions import cron
 from tidemark.functions.times import complete_back_to, elapsed_days, extraction_start, normal_watermark
 from tidemark.operators import cells as C
@@ -16,10 +16,10 @@ from tidemark.operators import robust as R
 from tidemark.operators.via import JoinNotUnique, assert_unique
 from tidemark.plans import assess as A
 from tidemark.plans import present as P
-from tidemark.plans.probe import ScanBudgetExceeded, check_scans, run_all, run_probe, scans
+from tidemark.plans.probe import Ledger, ScanBudgetExceeded, run_all, run_probe, scans
 from tidemark.sources.deliver import deliver, git
 from tidemark.sources.store import TABLES, ParquetStore, Run, StoreError
-from tidemark.sources.tables import column_types, draft_config, match_roles
+from tidemark.sources.tables import candidates, column_types, draft_config, list_tables, match_roles, table_exists
 from tidemark.status import Status, exit_code, worst
 
 AS_OF = datetime(2026, 7, 1)
@@ -238,9 +238,11 @@ def test_scan_budget(spark, tmp_path):
     frame(spark, [(AS_OF, AS_OF, 1)]).write.parquet(str(tmp_path / "t"))
     staged = K.staging(spark.read.parquet(str(tmp_path / "t")), PROBE, AS_OF)
     assert scans(C.canonical_cells(staged)) == 1
-    check_scans([staged] * 3, 1)
+    ledger = Ledger(1)
+    for _ in range(3):
+        ledger.enter(staged)
     with pytest.raises(ScanBudgetExceeded):
-        check_scans([staged] * 4, 1)
+        ledger.enter(staged)
 
 
 def test_days(spark):
@@ -288,7 +290,13 @@ def test_config():
 
 
 def test_discovery(spark):
-    assert match_roles(["recorded_at", "ingested_at", "created_at"]) == {"load_time": "ingested_at", "source_insert_time": "created_at", "event_time": "recorded_at"}
+    times = spark.createDataFrame([], "recorded_at timestamp, ingested_at timestamp, created_at date, load_batch string, event_day date, run_no int")
+    assert candidates(times)["event_time"] == ["event_day", "recorded_at", "ingested_at", "created_at"] and candidates(times)["load_time"] == ["ingested_at"]
+    assert match_roles(times) == {"load_time": ["ingested_at"], "source_insert_time": ["created_at"], "event_time": ["event_day", "recorded_at"], "batch_col": ["load_batch", "run_no"]}
+    assert match_roles(times, {"event_time": ("RECORDED",)})["event_time"] == ["recorded_at"]
+    text = draft_config({"a/b": times, "a_b": times}, {"kind": "parquet", "password": "p"})
+    for line in ('event_time: "event_day"  # other candidates: recorded_at', "event_resolution: date", '# batch_col: "load_batch"', 'name: "a_b"', 'name: "a_b_2"', 'password: "***"'):
+        assert line in text
     d = spark.createDataFrame([], "k long, OrderRef string, recorded_at timestamp")
     assert column_types(d, ["orderref"]) == {"orderref": "string"}
     with pytest.raises(KeyError):
@@ -305,8 +313,36 @@ def test_presentation():
     page = P.report_html(tables, "t")
     assert "default-src 'none'" in page and "http-equiv" in page and "<svg" in page
     assert P.display_count(3, True) == "<5" and P.display_count(None) == "—"
-    assert A.p95_text((12.4, 2.6), False) == "12 ± 3 d" and A.p95_text((12.4, 2.6), False, True) == "0.4 mo" and A.p95_text(None, True) == "> cap d"
-    assert P.canonical_svg('<g id="clip12ab34cd"/><use href="clip12ab34cd"/>') == '<g id="id0"/><use href="id0"/>'
+    assert A.p95_text((12.4, 2.6), None) == "12 ± 3 d" and A.p95_text((12.4, 2.6), None, True) == "0.4 mo" and A.p95_text((12.5, None), None) == "12 d"
+    assert A.p95_text(None, 365) == "> 365 d" and A.p95_text(None, 365, True) == "> 12.0 mo" and A.p95_text(None, None, True) == "—"
+
+
+def test_dashboard_cells():
+    row = lambda statuses, probe=PROBE, done=(): P.dashboard_rows({"statuses": [{"probe": "p", "detail": "", **s} for s in statuses], "completion_summary": list(done)}, probes=(probe,), source={"path": "/d", "schema": "s"})[0]
+    red = {"check": "probe", "severity": "RED", "reason": "missing_table"}
+    over = lambda check: {"check": check, "severity": "INSUFFICIENT_HISTORY", "reason": "percentile_over_cap"}
+    assert [row([red])[k] for k in ("database", "table", "healthy", "updating", "p95")] == ["/d", "s.t", "RED", P.NO_STATUS, "—"]
+    assert row([over("completion")])["p95"] == "> 365 d" and row([over("dual_lag")])["p95"] == "—"  # the column is of the load lag
+    bounded = Probe("p", "t", "load_time", event_time="event_time", analysis=Analysis(extraction_months=24))
+    assert row([red], bounded)["probe"] == "p (≤24m)" and row([])["healthy"] == P.NO_STATUS
+    assert row([red], done=[{"probe": "p", "p95_mean": 2.5, "p95_std": 12.5}])["p95"] == "2 ± 12 d"
+    assert P.expected_by(Campaign("0 6 * * 1", "Europe/London", 6), "2026-07-09T10:00:00") == "2026-07-13 12:00 Europe/London"
+    assert P.expected_by(Campaign(), "2026-07-09T10:00:00+00:00") == "manual runs only"
+
+
+def test_figures_mark_and_band():
+    months = [{"probe": "p", "month": f"2026-0{i}-01", "volume": v, "state": s, "expected_low": low, "deficit": d} for i, v, s, low, d in ((1, 100, "mature", None, None), (2, 135, "mature", None, None), (3, 40, "immature", 60.0, True))]
+    cells = [{"probe": "p", "event_month": f"2026-0{i}-01", "lag_day": d, "row_count": 50} for i in (1, 2) for d in (0, i)]
+    pcts = [{"probe": "p", "month": f"2026-0{i}-01", "pct": p, "days": d, "over_cap": d is None} for i in (1, 2) for p, d in ((50, 0), (95, None if i == 2 else 1))]
+    frames = {"month_volumes": months, "month_lag_cells": cells, "completion_percentiles": pcts, "volume_summary": [{"baseline_median": 100.0, "baseline_sigma": 10.0}], "completion_summary": [{"p50_mean": 1.0, "p50_std": 0.5, "p95_mean": None, "p95_std": None}]}
+    frames["batch_months"] = [{"month": "2026-01-01", "runs": 2, "null_batch_rows": 1, "days_to_p50": 3, "days_to_p90": None, "days_to_p95": None, "days_to_p99": None}]
+    wide = Probe("p", "t", "load_time", event_time="event_time", proxy=True, analysis=Analysis(volume_amber_mads=3, volume_red_mads=4))
+    assert [[r["mark"] for r in P.figure_data(frames, p)["volume"]] for p in (None, wide)] == [[None, "red", "deficit"], [None, "amber", "deficit"]]
+    svg = {k: P.figure_svg(k, v, wide) for k, v in P.figure_data(frames, wide).items()}
+    assert "arrival deficit" in svg["volume"] and "expected so far (low)" in svg["volume"] and "proxy times" in svg["volume"]
+    assert "p10 to p90" in svg["completion_curves"] and "one deviation" in svg["percentiles"] and "95 % beyond the cap" in svg["percentiles"]
+    assert "days to 50 %" in svg["batch"] and "rows of no batch" in svg["batch"]
+    assert svg == {k: P.figure_svg(k, v, wide) for k, v in P.figure_data(frames, wide).items()}
 
 
 @pytest.fixture(scope="module")
@@ -345,6 +381,64 @@ def test_run_of_all_probes(spark, world_dir):
     assert direct == borrowed
 
 
+def run_of(spark, path, rows, probe, as_of=AS_OF, kind="event_time timestamp_ntz, load_time timestamp_ntz, source_time timestamp_ntz, batch string"):
+    spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(f"{path}/t.parquet")
+    return run_probe(spark, {"kind": "parquet", "path": str(path)}, probe, as_of)
+
+
+def test_batches_of_the_runner(spark, tmp_path):
+    """A batch first seen on a row of no event time came then; one with no eligible row is a run all the same."""
+    e, end = datetime(2025, 1, 10), datetime(2025, 2, 1)
+    rows = [(e, end + timedelta(days=9), None, "a")] * 6 + [(None, end, None, "a")] + [(e, end + timedelta(days=12), None, "b")] * 4
+    rows += [(e, e - timedelta(days=8), None, "early"), (datetime(2024, 12, 5), datetime(2024, 11, 1), None, "early"), (datetime(2024, 11, 5), end, None, None)]
+    found = run_of(spark, tmp_path, rows, Probe("p", "t", "load_time", event_time="event_time", batch_col="batch"))
+    months = {r["month"]: r for r in found.tables["batch_months"]}
+    january = months["2025-01-01"]
+    assert (january["days_to_p50"], january["days_to_p90"], january["runs"]) == (0, 12, 3)
+    assert (months["2024-12-01"]["runs"], months["2024-12-01"]["days_to_p50"]) == (1, None)
+    assert (months["2024-11-01"]["runs"], months["2024-11-01"]["null_batch_rows"], months["2024-11-01"]["days_to_p50"]) == (0, 1, None)
+    assert {r["batch_id"]: r["rows"] for r in found.tables["batch_runs"]} == {"a": 6, "b": 4, "early": 0}
+    assert found.tables["freshness"][0]["last_epoch"] == (end + timedelta(days=12)).isoformat() and found.tables["freshness"][0]["epoch_count"] == 3
+
+
+def test_dual_lag_of_the_runner_is_censored(spark, tmp_path):
+    """Any percentile of any month beyond the cap keeps the check from GREEN."""
+    e = datetime(2026, 6, 10)
+    rows = [(e, e + timedelta(days=5), e + timedelta(days=3 if i < 97 else 400), None) for i in range(100)]
+    probe = Probe("p", "t", "load_time", event_time="event_time", source_insert_time="source_time")
+    found = run_of(spark, tmp_path, rows, probe)
+    assert [(s.severity, s.reason) for s in found.statuses if s.check == "dual_lag"] == [("INSUFFICIENT_HISTORY", "percentile_over_cap")]
+    fine = run_of(spark, tmp_path, rows[:97], probe)
+    assert [s.severity for s in fine.statuses if s.check == "dual_lag"] == ["GREEN"]
+
+
+def test_join_is_reconciled(spark, tmp_path):
+    probe = Probe("p", "t", "load_time", event_time_via=Via("lk", (("batch", "id"),), "event_time"))
+    found = A.assess_completion([], world(10, n_base_rows=7), probe, AS_OF)
+    assert ("reconciliation_mismatch", "RED") in reasons(found)
+    assert ("reconciliation_mismatch", "RED") not in reasons(A.assess_completion([], world(10, n_base_rows=10), probe, AS_OF))
+    e = datetime(2025, 1, 10)
+    spark.createDataFrame([("x", e), (None, e)], "id string, event_time timestamp_ntz").write.parquet(f"{tmp_path}/lk.parquet")
+    rows = [(None, e, None, "x")] * 3 + [(None, e, None, None)] * 2 + [(None, e, None, "y")]
+    buckets = run_of(spark, tmp_path, rows, probe).tables["population_buckets"][0]
+    assert (buckets["row_count"], buckets["n_base_rows"], buckets["n_join_unmatched"], buckets["n_eligible"]) == (6, 6, 3, 3)
+
+
+def test_tables_of_a_database(spark):
+    """Embedded Derby: a missing table is told apart from a source that cannot be reached."""
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded database")
+    source = {"kind": "jdbc", "options": {"url": "jdbc:derby:memory:probe;create=true", "driver": driver}, "tables_query": "SELECT TABLENAME AS NAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'"}
+    spark.createDataFrame([(1, AS_OF)], "k int, load_time timestamp").write.format("jdbc").options(**source["options"]).option("dbtable", "arrivals").mode("overwrite").save()
+    assert table_exists(spark, source, "arrivals") and not table_exists(spark, source, "nothing")
+    assert list_tables(spark, source) == ["ARRIVALS"]
+    with pytest.raises(Exception):
+        table_exists(spark, source | {"options": source["options"] | {"url": "jdbc:derby:memory:elsewhere"}}, "arrivals")
+
+
 def test_missing_and_broken_tables(spark, world_dir):
     source = {"kind": "parquet", "path": str(world_dir)}
     lost = run_probe(spark, source, Probe("x", "nothing", "l", event_time="e"), AS_OF)
@@ -369,10 +463,18 @@ def test_command_line_lifecycle(spark, world_dir, capsys, tmp_path):
     assert main(["run", "--config", conf, "--window", "3d"], spark) == 1
     assert main(["report", "--config", conf, "--out", str(tmp_path / "r")], spark) == 0
     assert main(["publish", "--config", conf, "--out", str(tmp_path / "p")], spark) == 0
-    assert "orders" in (tmp_path / "p/README.md").read_text()
+    page = (tmp_path / "p/README.md").read_text()
+    assert "orders" in page and "manual runs only" in page and json.loads((tmp_path / "p/published.json").read_text())["run_id"] == "one"
+    assert store.stages("one") == ["analysis", "render"]
+    assert main(["run", "--config", conf, "--as-of", "2024-09-15", "--run-id", "two", "--out", str(tmp_path / "p")], spark) in (0, 2)
+    assert main(["publish", "--config", conf, "--run-id", "one", "--out", str(tmp_path / "p")], spark) == 1  # a later run is there
+    store.files.remove("stages/two/render.json")
+    assert main(["run", "--config", conf, "--resume-from", "two", "--out", str(tmp_path / "q")], spark) in (0, 2)  # goes on with its pages
+    assert (tmp_path / "q/report.html").exists() and store.stages("two") == ["analysis", "render"]
+    assert main(["discover", "--path", str(world_dir)], spark) == 0 and "replica" in capsys.readouterr().out
     assert main(["serve", "--config", conf], spark) == 1
     assert main(["discover", "--path", str(world_dir), "orders"], spark) == 0
-    assert "event_time: event_time" in capsys.readouterr().out
+    assert 'event_time: "event_time"' in capsys.readouterr().out
 
 
 def test_store_claims_and_prune(spark, tmp_path):

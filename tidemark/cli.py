@@ -13,11 +13,11 @@ from pyspark.sql import SparkSession
 
 from tidemark.config import Config, ConfigError, compose, digest, load_config
 from tidemark.functions.times import extraction_start, next_month, normal_watermark
-from tidemark.plans.present import dashboard_rows, markdown, report_html
+from tidemark.plans.present import dashboard_rows, expected_by, markdown, report_html
 from tidemark.plans.probe import run_all
-from tidemark.sources.deliver import deliver
+from tidemark.sources.deliver import DeliveryError, deliver, guard, marked
 from tidemark.sources.store import TABLES, ParquetStore, Run, StoreError
-from tidemark.sources.tables import draft_config, read_table
+from tidemark.sources.tables import draft_config, list_tables, read_table
 
 
 def session() -> SparkSession:
@@ -57,6 +57,7 @@ def matching(store: ParquetStore, run_id: str, config: Config) -> None:
 
 
 def cmd_run(args: argparse.Namespace, spark: SparkSession) -> int:
+    """Analysis, then with --out the pages, then with --deliver their delivery; a resumed run goes on after its last stage."""
     config = load(args.config)
     store = ParquetStore(spark, config.store_path)
     known = store.registered(args.resume_from) if args.resume_from else None
@@ -72,52 +73,86 @@ def cmd_run(args: argparse.Namespace, spark: SparkSession) -> int:
     if run.config_digest != digest(config):
         raise StoreError("a run is resumed with its own configuration")
     store.register(run)
-    token = store.begin(run)
-    try:
-        tables, code = run_all(spark, config.source, config.probes, as_of, window)
-        for name in TABLES:
-            store.write_table(run, token, name, tables.get(name, []))
-        store.commit(run, token, {"stages": ["analysis"], "exit_code": code})
-    except BaseException:
-        store.abort(run.run_id)
-        raise
-    if config.retention:
-        store.prune(config.retention, (run.run_id,))
-    for row in dashboard_rows(tables):
+    done = store.stages(run.run_id) if known else []
+    if "analysis" not in done:
+        token = store.begin(run)
+        try:
+            tables, code = run_all(spark, config.source, config.probes, as_of, window)
+            for name in TABLES:
+                store.write_table(run, token, name, tables.get(name, []))
+            store.commit(run, token, {"exit_code": code})
+        except BaseException:
+            store.abort(run.run_id)
+            raise
+        if config.retention:
+            store.prune(config.retention, (run.run_id,))
+    tables = tables_of(store, run.run_id)
+    for row in dashboard_rows(tables, hidden(config), config.probes, config.source):
         print("  ".join(str(v) for v in row.values()))
-    return code
+    if args.out and "render" not in done:
+        render(config, store, run.run_id, Path(args.out))
+    if args.out and args.deliver and "publish" not in done:
+        publish(config, store, run.run_id, Path(args.out), args.branch)
+    return store.manifest(run.run_id)["exit_code"]
+
+
+def hidden(config: Config) -> frozenset[str]:
+    return frozenset(p.name for p in config.probes if p.suppress_small_counts)
+
+
+def facts_of(config: Config, manifest: dict) -> dict[str, str]:
+    run = manifest["run"]
+    window = " to ".join(run[k][:10] for k in ("window_start", "window_end")) if run["window_start"] else "all months"
+    return {"Generated": run["started_at"], "Run": run["run_id"], "As of": run["as_of"], "Window": window, "Next update expected by": expected_by(config.campaign, run["started_at"])}
+
+
+def render(config: Config, store: ParquetStore, run_id: str, out: Path) -> None:
+    """The dashboard, its report and the mark of its run, unless the folder holds a later run."""
+    tables, manifest = tables_of(store, run_id), store.manifest(run_id)
+    run_at, facts = manifest["run"]["started_at"], facts_of(config, manifest)
+    out.mkdir(parents=True, exist_ok=True)
+    guard(out, run_at)
+    (out / "README.md").write_text(markdown(dashboard_rows(tables, hidden(config), config.probes, config.source), "Data arrival", facts), encoding="utf-8")
+    (out / "report.html").write_text(report_html(tables, f"Run {run_id}", hidden(config), config.probes, config.source, facts), encoding="utf-8")
+    marked(out, run_id, run_at)
+    store.record_stage(run_id, "render", {"out": str(out)})
+
 
+def publish(config: Config, store: ParquetStore, run_id: str, out: Path, branch: str) -> None:
+    commits = deliver(out, config.remotes, branch, run_id, store.manifest(run_id)["run"]["started_at"])
+    store.record_stage(run_id, "publish", {"branch": branch, "commits": commits})
 
-def _render(args: argparse.Namespace, spark: SparkSession) -> tuple[Config, ParquetStore, str, dict[str, list[dict]], Path]:
+
+def _chosen(args: argparse.Namespace, spark: SparkSession) -> tuple[Config, ParquetStore, str]:
     config = load(args.config)
     store = ParquetStore(spark, config.store_path)
     run_id = latest(store, args.run_id)
     matching(store, run_id, config)
-    out = Path(args.out)
-    out.mkdir(parents=True, exist_ok=True)
-    return config, store, run_id, tables_of(store, run_id), out
+    return config, store, run_id
 
 
 def cmd_report(args: argparse.Namespace, spark: SparkSession) -> int:
-    config, _, run_id, tables, out = _render(args, spark)
-    hidden = frozenset(p.name for p in config.probes if p.suppress_small_counts)
-    (out / "report.html").write_text(report_html(tables, f"Run {run_id}", hidden), encoding="utf-8")
+    config, store, run_id = _chosen(args, spark)
+    out = Path(args.out)
+    out.mkdir(parents=True, exist_ok=True)
+    page = report_html(tables_of(store, run_id), f"Run {run_id}", hidden(config), config.probes, config.source, facts_of(config, store.manifest(run_id)))
+    (out / "report.html").write_text(page, encoding="utf-8")
     return 0
 
 
 def cmd_publish(args: argparse.Namespace, spark: SparkSession) -> int:
-    config, store, run_id, tables, out = _render(args, spark)
-    hidden = frozenset(p.name for p in config.probes if p.suppress_small_counts)
-    (out / "README.md").write_text(markdown(dashboard_rows(tables, hidden), "Data arrival"), encoding="utf-8")
-    (out / "report.html").write_text(report_html(tables, f"Run {run_id}", hidden), encoding="utf-8")
+    config, store, run_id = _chosen(args, spark)
+    render(config, store, run_id, Path(args.out))
     if args.deliver:
-        deliver(out, config.remotes, args.branch, run_id, store.manifest(run_id)["run"]["as_of"])
+        publish(config, store, run_id, Path(args.out), args.branch)
     return 0
 
 
 def cmd_discover(args: argparse.Namespace, spark: SparkSession) -> int:
-    source = {"kind": "parquet", "path": args.path}
-    print(draft_config({t: read_table(spark, source, t) for t in args.tables}, source), end="")
+    """Every table of the source, or those named, by their columns alone: no rows are read."""
+    source = load(args.config).source if args.config else {"kind": "parquet", "path": args.path}
+    names = args.tables or list_tables(spark, source)
+    print(draft_config({t: read_table(spark, source, t) for t in names}, source), end="")
     return 0
 
 
@@ -147,15 +182,19 @@ def parser() -> argparse.ArgumentParser:
         run.add_argument(name)
     run.add_argument("--year", type=int)
     run.add_argument("--dry-run", action="store_true")
+    run.add_argument("--out")
     for name, f in (("report", cmd_report), ("publish", cmd_publish)):
         c = add(name, f)
         c.add_argument("--run-id")
         c.add_argument("--out", default="site")
-    c.add_argument("--deliver", action="store_true")
-    c.add_argument("--branch", default="main")
+    for c in (run, c):
+        c.add_argument("--deliver", action="store_true")
+        c.add_argument("--branch", default="main")
     d = add("discover", cmd_discover, False)
-    d.add_argument("--path", required=True)
-    d.add_argument("tables", nargs="+")
+    where = d.add_mutually_exclusive_group(required=True)
+    where.add_argument("--path")
+    where.add_argument("--config", action="append")
+    d.add_argument("tables", nargs="*")
     add("abort", cmd_abort).add_argument("--run-id", required=True)
     add("serve", cmd_serve)
     return p
@@ -165,7 +204,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     try:
         return args.f(args, spark or session())
-    except (ConfigError, StoreError, FileNotFoundError) as e:
+    except (ConfigError, StoreError, DeliveryError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

@@ -67,4 +67,4 @@ def next_fire(expression: str, after: datetime, zone: str = "UTC") -> datetime |
 def next_expected(expression: str | None, last: datetime, zone: str = "UTC", grace_hours: float = 0.0) -> datetime | None:
     """When the run after `last` is overdue: the next match and the grace; None without a schedule."""
     at = next_fire(expression, last, zone) if expression else None
-    return None if at is None else at + timedelta(hours=grace_hours)
+    return None if at is None else (at.astimezone(timezone.utc) + timedelta(hours=grace_hours)).astimezone(at.tzinfo)

@@ -93,13 +93,30 @@ def distinct_keys(staged: DataFrame) -> DataFrame:
     return staged.where("is_base_row = 1").agg(F.countDistinct("key").cast("long").alias("distinct_keys"))
 
 
+def with_global(cells: DataFrame, gid: int = MONTH_LAG, to: int = GLOBAL) -> DataFrame:
+    """The cells and the global row, in one plan that holds them once: cells of one partition of all rows count twice.
+
+    A row of zeros stands for the global one, so that it is there for an empty table.
+    """
+    keys = [c for c in cells.columns if c in {*WEIGHTS, *DUAL_WEIGHTS}]
+    rest = {c: f for c, f in (("lookup_dup_max", F.max), ("min_load_time", F.min)) if c in cells.columns}
+    sums = [c for c in cells.columns if c not in {"grouping_id", *keys, *rest}]
+    types = {f.name: f.dataType for f in cells.schema}
+    now = F.col("grouping_id")
+    twice = cells.withColumn("grouping_id", F.explode(F.when(now == gid, F.array(now, F.lit(to).cast(types["grouping_id"]))).otherwise(F.array(now))))
+    twice = twice.withColumns({c: F.when(now != to, F.col(c)) for c in keys})
+    seed = cells.sparkSession.range(1).select(*(F.lit(to if c == "grouping_id" else 0 if c in sums else None).cast(types[c]).alias(c) for c in cells.columns))
+    out = twice.unionByName(seed).groupBy("grouping_id", *keys).agg(*(F.sum(c).alias(c) for c in sums), *(f(c).alias(c) for c, f in rest.items()))
+    return out.select(cells.columns)
+
+
 def canonical_pass(staged: DataFrame, batch: bool = False, alt: bool = False) -> DataFrame:
-    """Cells of all sets and the global row."""
-    return canonical_cells(staged, batch, alt).unionByName(global_row(staged)).orderBy("grouping_id")
+    """Cells of all sets and the global row, from one scan."""
+    return with_global(canonical_cells(staged, batch, alt)).orderBy("grouping_id")
 
 
 def dual_pass(staged: DataFrame) -> DataFrame:
-    return dual_cells(staged).unionByName(dual_global_row(staged)).orderBy("grouping_id")
+    return with_global(dual_cells(staged), DUAL_MONTH_LAG, DUAL_GLOBAL).orderBy("grouping_id")
 
 
 def result_cells(cells: DataFrame) -> DataFrame:
@@ -108,6 +125,13 @@ def result_cells(cells: DataFrame) -> DataFrame:
     return cells.where(gid.isin(ALT, GLOBAL) | (gid.isin(MONTH_LAG, MONTH_BATCH) & F.col("event_month").isNotNull()) | ((gid == EPOCH) & F.col("load_epoch").isNotNull()))
 
 
+def assessed_cells(cells: DataFrame) -> DataFrame:
+    """result_cells, and the cells of every batch: one that came first with rows of no month came then all the same."""
+    gid = F.col("grouping_id")
+    kept = gid.isin(ALT, GLOBAL) | ((gid == MONTH_LAG) & F.col("event_month").isNotNull()) | ((gid == EPOCH) & F.col("load_epoch").isNotNull())
+    return cells.where(kept | ((gid == MONTH_BATCH) & (F.col("event_month").isNotNull() | F.col("batch_id").isNotNull())))
+
+
 def dual_result_cells(cells: DataFrame) -> DataFrame:
     gid = F.col("grouping_id")
     return cells.where((gid == DUAL_GLOBAL) | ((gid == DUAL_MONTH_LAG) & F.col("event_month").isNotNull()) | ((gid == DUAL_DELTA) & F.col("delta_day").isNotNull()))

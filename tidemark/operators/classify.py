@@ -77,24 +77,24 @@ def classify(df: DataFrame, probe: Probe, as_of: datetime, event_time: str | Non
     )
 
 
-def staging(base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None) -> DataFrame:
-    """The projection of a probe: admission below the via join, classes above it."""
+def staging(base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None, every: bool = True) -> DataFrame:
+    """The projection of a probe: admission below the via join, classes above it; every as in via_join."""
     from tidemark.operators.via import via_join
 
     rows = admitted(base.select(*probe.columns), probe.load_time, as_of)
     if probe.event_time_via is None:
         return classify(rows, probe, as_of)
-    return classify(via_join(rows, lookup, probe.event_time_via), probe, as_of, "_event")
+    return classify(via_join(rows, lookup, probe.event_time_via, every), probe, as_of, "_event")
 
 
-def dual_staging(base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None) -> DataFrame:
+def dual_staging(base: DataFrame, probe: Probe, as_of: datetime, lookup: DataFrame | None = None, every: bool = True) -> DataFrame:
     """As staging for the lag from event to source insertion, with the days from there to load."""
     from tidemark.operators.via import via_join
 
     a = probe.analysis
     rows = admitted(base.select(*probe.columns), probe.load_time, as_of)
     if probe.event_time_via is not None:
-        rows = via_join(rows, lookup, probe.event_time_via)
+        rows = via_join(rows, lookup, probe.event_time_via, every)
     via = probe.event_time_via is not None
     base_row = F.col("_base").isNotNull() if via else F.lit(True)
     event, source, load = F.col("_event" if via else probe.event_time), F.col(probe.source_insert_time), F.col(probe.load_time)

@@ -1,4 +1,4 @@
-"""Borrowed event time: full outer join with a guard against keys that the lookup holds twice."""
+"""Borrowed event time: outer join with a guard against keys that the lookup holds twice."""
 
 from __future__ import annotations
 
@@ -20,14 +20,21 @@ def guarded_lookup(lookup: DataFrame, via: Via) -> DataFrame:
     return narrow.select("*", F.count(F.lit(1)).over(w).alias("_dup"), F.row_number().over(w.orderBy(*keys)).alias("_first"), F.lit(1).alias("_matched"))
 
 
-def via_join(base: DataFrame, lookup: DataFrame, via: Via) -> DataFrame:
-    """Every base row and every lookup row: base rows alone are unmatched, lookup rows alone only serve the guard."""
+def via_join(base: DataFrame, lookup: DataFrame, via: Via, every: bool = True) -> DataFrame:
+    """Every base row, and with every, each lookup row: base rows alone are unmatched, lookup rows alone only serve the guard.
+
+    Without every (where assert_unique has passed over all keys) the join is a left one, which can be broadcast, and whose
+    skewed keys, null ones of the base among them, are split at run time; lookup rows of null keys match nothing and stay
+    out of the shuffle.
+    """
+    if not every:
+        lookup = lookup.dropna(subset=[c for _, c in via.on])
     right = guarded_lookup(lookup, via)
     on = [base[b] == right[f"_k{i}"] for i, (b, _) in enumerate(via.on)]
     condition = on[0]
     for c in on[1:]:
         condition &= c
-    return base.withColumn("_base", F.lit(1)).join(right, condition, "full_outer")
+    return base.withColumn("_base", F.lit(1)).join(right, condition, "full_outer" if every else "left_outer")
 
 
 def duplicated_keys(lookup: DataFrame, via: Via) -> DataFrame:

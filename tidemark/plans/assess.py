@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import statistics
 from collections import defaultdict
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
-from tidemark.config import PERCENTS, Probe
+from tidemark.config import DAYS_A_MONTH, PERCENTS, Probe
 from tidemark.functions.times import complete_back_to, next_month, normal_watermark
 from tidemark.operators import cells as C
 from tidemark.operators.robust import MAD_SCALE, fill_band, floored_sigma, mad, recommended_wait
@@ -81,6 +80,8 @@ def reconciled(world: dict, null_load: str = "n_null_load_time_only") -> Status:
 def assess_completion(cells: list[dict], world: dict, probe: Probe, as_of: datetime) -> Completion:
     a, as_of = probe.analysis, normal_watermark(as_of)
     out = Completion([reconciled(world)])
+    if probe.event_time_via is not None and world["n_base_rows"] != world["row_count"]:  # with a unique lookup they are equal
+        out.statuses.append(Status("reconciliation", "RED", "reconciliation_mismatch", f"{world['n_base_rows']} rows before the join, {world['row_count']} after"))
     curves = month_curves(of_set(cells, C.MONTH_LAG))
     out.mismatches = defaultdict(int)
     for c in of_set(cells, C.MONTH_LAG):
@@ -211,7 +212,7 @@ class Freshness:
 
 
 def batch_times(cells: list[dict]) -> dict[str, datetime]:
-    """First load of each batch, from all its cells, those without a month included."""
+    """First load of each batch, from all its cells: rows that give no month arrived all the same."""
     out: dict[str, datetime] = {}
     for c in of_set(cells, C.MONTH_BATCH):
         if c["batch_id"] is not None and c["min_load_time"] is not None:
@@ -246,22 +247,23 @@ class Batch:
 def assess_batch(cells: list[dict], probe: Probe) -> Batch:
     out, times = Batch([]), batch_times(cells)
     final = {m: sum(c.values()) for m, c in month_curves(of_set(cells, C.MONTH_LAG)).items()}
-    by_month: dict[date, dict[str | None, int]] = defaultdict(lambda: defaultdict(int))
+    by_month: dict[date, dict[str | None, int]] = defaultdict(lambda: defaultdict(int))  # with batches of no eligible row
     for c in of_set(cells, C.MONTH_BATCH):
         if c["event_month"] is not None:
             by_month[c["event_month"]][c["batch_id"]] += c["n_eligible"]
             if c["batch_id"] is not None:
                 out.rows[c["batch_id"]] = out.rows.get(c["batch_id"], 0) + c["n_eligible"]
     lost = 0
-    for m in sorted(set(final) | set(by_month)):
-        batches = {b: n for b, n in by_month[m].items() if n}
+    for m in sorted(by_month):
+        batches = dict(by_month[m])
         none, seen = batches.pop(None, 0), 0
         lost += none
+        whole = final.get(m, sum(batches.values()))
         days: dict[int, int | None] = dict.fromkeys(PERCENTS)
-        for b in sorted((b for b in batches if b in times), key=lambda b: (times[b], b)):
+        for b in sorted(batches, key=lambda b: (times[b], b)):
             seen += batches[b]
             for p in PERCENTS:
-                if days[p] is None and final.get(m) and seen / final[m] >= p / 100:
+                if days[p] is None and whole and seen / whole >= p / 100:
                     days[p] = (times[b].date() - next_month(m).date()).days
         out.months[m] = {"runs": len(batches), "null_batch_rows": none, "days": days}
     out.statuses.append(Status("batch", "AMBER", "null_batch_ids", f"{lost} rows") if lost else green("batch"))
@@ -277,7 +279,8 @@ class DualLag:
     excess: float = 0.0
 
 
-def assess_dual(cells: list[dict], world: dict, probe: Probe, as_of: datetime) -> DualLag:
+def assess_dual(cells: list[dict], world: dict, probe: Probe) -> DualLag:
+    """Months and percentiles of any age count: one beyond the cap is known only as such, and the check is not GREEN."""
     a = probe.analysis
     status = reconciled(world, "n_null_source_only")
     out = DualLag([status], null_source=world["n_null_source_only"], excess=negative_excess(world, "n_null_source_only"))
@@ -286,9 +289,8 @@ def assess_dual(cells: list[dict], world: dict, probe: Probe, as_of: datetime) -
     out.delta = {c["delta_day"]: c["row_count"] for c in of_set(cells, C.DUAL_DELTA) if c["delta_day"] is not None}
     if out.excess > a.negative_lag_red_fraction:
         out.statuses.append(Status("dual_lag", "RED", "negative_lag_excess", f"{out.excess:.6f}"))
-    training = [m for m in curves if next_month(m) <= normal_watermark(as_of) - timedelta(days=a.training_cutoff_days)]
-    if any(out.days[m][95] is None for m in training):
-        out.statuses.append(Status("dual_lag", "INSUFFICIENT_HISTORY", "percentile_over_cap", "a training month is not complete by the cap"))
+    if late := [m for m, days in out.days.items() if None in days.values()]:
+        out.statuses.append(Status("dual_lag", "INSUFFICIENT_HISTORY", "percentile_over_cap", f"{len(late)} months with a percentile beyond the cap, from {late[0]:%Y-%m} on"))
     if all(s.severity == "GREEN" for s in out.statuses):
         out.statuses.append(green("dual_lag"))
     return out
@@ -350,8 +352,12 @@ def assess_parity(left: Side, right: Side | None, as_of: datetime) -> Parity:
     return Parity(out.statuses or [green("parity")], out.rows)
 
 
-def p95_text(summary: tuple[float, float] | None, over_cap: bool, months: bool = False) -> str:
-    """Cell of the dashboard: mean and deviation in days, the mean in months, or why there is none."""
-    if summary is None:
-        return "> cap d" if over_cap else "—"
-    return f"{summary[0] / 30.4375:.1f} mo" if months else f"{math.floor(summary[0] + 0.5)} ± {math.floor(summary[1] + 0.5)} d"
+def p95_text(summary: tuple[float, float | None] | None, cap: int | None, months: bool = False) -> str:
+    """Cell of the dashboard: mean and deviation in days, the mean in months, or more than a cap, or that there is none."""
+    if summary is None and cap is None:
+        return "—"
+    mark, days = ("> ", cap) if summary is None else ("", summary[0])
+    if months:
+        return f"{mark}{days / DAYS_A_MONTH:.1f} mo"
+    spread = "" if summary is None or summary[1] is None else f" ± {summary[1]:.0f}"
+    return f"{mark}{days:.0f}{spread} d"

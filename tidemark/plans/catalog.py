@@ -109,20 +109,21 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of months and lags, kept: metrics that use them more than once read the table once. The calendar and the cap bound them."""
     staged = staging(spark, sf_dir).where("event_month is not null")
-    return staged.groupBy("event_month", "lag_day").agg(F.count(F.lit(1)).alias("row_count"), C.total("is_eligible").alias("n_eligible"), C.total("is_compare_mismatch").alias("n_compare_mismatch"))
+    return staged.groupBy("event_month", "lag_day").agg(F.count(F.lit(1)).alias("row_count"), C.total("is_eligible").alias("n_eligible"), C.total("is_compare_mismatch").alias("n_compare_mismatch")).persist()
 
 
-def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.cumulative(V.curve_cells(month_lag(spark, sf_dir)))
+def curves(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    return V.cumulative(V.curve_cells(month_lag(spark, sf_dir) if cells is None else cells))
 
 
 def percent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.days_to_percent(curves(spark, sf_dir), CAP)
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.month_volumes(month_lag(spark, sf_dir))
+def volumes(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    return M.month_volumes(month_lag(spark, sf_dir) if cells is None else cells)
 
 
 WITH = "WITH " + ORDERS_SQL
@@ -232,16 +233,16 @@ def unmatched(lookup: DataFrame, where: str, part: int = 0) -> DataFrame:
     return lookup.withColumn("o_orderkey", F.when(F.expr(where), -2 * F.col("o_orderkey") - part).otherwise(F.col("o_orderkey")))
 
 
-def lines_staging(spark, sf_dir, probe=LINES):
+def lines_staging(spark, sf_dir, probe=LINES, every=True):
     lookup = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
     lookup = unmatched(lookup, "o_orderkey % 10 = 3")
     base = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
-    return K.staging(base, probe, VIA_AS_OF, lookup)
+    return K.staging(base, probe, VIA_AS_OF, lookup, every)
 
 
 @query(VIA_SQL + """SELECT CASE WHEN both_there THEN CAST(date_trunc('month', ev) AS DATE) END AS event_month, CAST(CASE WHEN NOT both_there THEN NULL WHEN lag < -1 THEN -1 WHEN lag > 365 THEN 366 WHEN lag < 0 THEN 0 ELSE lag END AS INTEGER) AS lag_day, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CASE WHEN NOT matched THEN 1 ELSE 0 END) AS BIGINT) AS n_join_unmatched FROM s GROUP BY 1, 2""")
 def via_join_cells(spark, sf_dir):
-    cells = C.canonical_cells(lines_staging(spark, sf_dir)).where(F.col("grouping_id") == C.MONTH_LAG)
+    cells = C.canonical_cells(lines_staging(spark, sf_dir, every=False)).where(F.col("grouping_id") == C.MONTH_LAG)
     return cells.select("event_month", "lag_day", "row_count", "n_join_unmatched")
 
 
@@ -382,15 +383,16 @@ def volume_collapse(spark, sf_dir):
 im AS (SELECT *, CAST(floor(date_diff('second', event_month + INTERVAL 1 MONTH, TIMESTAMP '2001-07-15 12:00:00') / 86400.0) AS INTEGER) AS age FROM mv WHERE event_month + INTERVAL 1 MONTH <= TIMESTAMP '2001-07-15 12:00:00' AND NOT ({MATURE}))
 SELECT event_month, volume, round((SELECT median FROM sg) * frac, 4) AS expected, round(volume / frac, 4) AS nowcast FROM im JOIN fm ON fm.day = least(im.age, 60)""")
 def still_filling(spark, sf_dir):
-    v = volumes(spark, sf_dir)
-    curve = V.median_curve(V.on_grid(mature(curves(spark, sf_dir)), 60))
+    cells = month_lag(spark, sf_dir)
+    v = volumes(spark, sf_dir, cells)
+    curve = V.median_curve(V.on_grid(mature(curves(spark, sf_dir, cells)), 60))
     out = M.filling(v, curve, M.baseline(v, AS_OF, CUTOFF, RECENT), AS_OF, CUTOFF, 60)
     return out.select("event_month", "volume", F.round("expected", 4).alias("expected"), F.round("nowcast", 4).alias("nowcast"))
 
 
 @query(WITH + ", e AS (SELECT DISTINCT load_epoch FROM st WHERE load_epoch IS NOT NULL), g AS (SELECT date_diff('second', lag(load_epoch) OVER (ORDER BY load_epoch), load_epoch) / 86400.0 AS gap FROM e), m AS (SELECT median(gap) AS cadence FROM g) SELECT (SELECT cadence FROM m) AS cadence, greatest(1.4826 * median(abs(gap - (SELECT cadence FROM m))), 1.0) AS sigma, round(date_diff('second', (SELECT max(load_epoch) FROM e), TIMESTAMP '2001-07-15 12:00:00') / 86400.0, 6) AS since, CAST(count(gap) + 1 AS BIGINT) AS epochs FROM g")
 def freshness_cadence(spark, sf_dir):
-    epochs = staging(spark, sf_dir).select("load_epoch").where("load_epoch is not null").distinct()
+    epochs = staging(spark, sf_dir).select("load_epoch").where("load_epoch is not null").distinct().persist()
     return M.cadence(epochs, "load_epoch", AS_OF)
 
 
@@ -399,7 +401,7 @@ def rows_per_run(spark, sf_dir):
     return M.batch_runs(C.canonical_cells(staging(spark, sf_dir), batch=True).where(F.col("grouping_id") == C.MONTH_BATCH))
 
 
-@query(WITH + "SELECT event_month, CAST(count(DISTINCT batch_id) FILTER (eligible = 1) AS BIGINT) AS runs, CAST(sum(CASE WHEN batch_id IS NULL THEN eligible ELSE 0 END) AS BIGINT) AS null_batch_rows FROM st WHERE event_month IS NOT NULL GROUP BY 1")
+@query(WITH + "SELECT event_month, CAST(count(DISTINCT batch_id) AS BIGINT) AS runs, CAST(sum(CASE WHEN batch_id IS NULL THEN eligible ELSE 0 END) AS BIGINT) AS null_batch_rows FROM st WHERE event_month IS NOT NULL GROUP BY 1")
 def runs_per_month(spark, sf_dir):
     return M.runs_per_month(C.canonical_cells(staging(spark, sf_dir), batch=True).where(F.col("grouping_id") == C.MONTH_BATCH))
 
@@ -409,9 +411,7 @@ bm AS (SELECT event_month, batch_id, sum(eligible) AS n FROM st WHERE event_mont
 w AS (SELECT event_month, ts, sum(n) OVER (PARTITION BY event_month ORDER BY ts, batch_id) / CAST(volume AS DOUBLE) AS share FROM bm JOIN bt USING (batch_id) JOIN mv USING (event_month))
 SELECT event_month, p AS pct, CAST(min(CASE WHEN share >= p / 100.0 THEN date_diff('day', event_month + INTERVAL 1 MONTH, CAST(ts AS DATE)) END) AS INTEGER) AS days FROM w, (VALUES (50), (90), (95), (99)) t(p) GROUP BY ALL""")
 def batch_completion(spark, sf_dir):
-    staged = staging(spark, sf_dir)
-    cells = C.canonical_cells(staged, batch=True)
-    return M.batch_completion(cells.where(F.col("grouping_id") == C.MONTH_BATCH), cells.where(F.col("grouping_id") == C.MONTH_LAG))
+    return M.batch_completion(C.canonical_cells(staging(spark, sf_dir), batch=True))
 
 
 DUAL_SQL = WITH + """, du AS (SELECT *, date_diff('day', event_time, source_time) AS sl, event_time IS NOT NULL AND source_time IS NOT NULL AS two FROM adm),
@@ -487,12 +487,13 @@ def reporting_window(spark, sf_dir):
     return M.in_window(percent_days(spark, sf_dir), "2000-01-01", "2001-01-01").select("event_month", "pct", "days")
 
 
-@query("SELECT probe, severity FROM (VALUES ('a', 'RED'), ('b', 'INSUFFICIENT_HISTORY'), ('c', 'GREEN')) t(probe, severity)")
+@query(WITH + """SELECT coalesce(strftime(load_epoch, '%Y-%m'), 'none') AS probe, CASE WHEN max(excluded) = 1 THEN 'RED' WHEN max(overflow) = 1 THEN 'AMBER' WHEN max(null_event) = 1 THEN 'INDETERMINATE' WHEN max(null_load) = 1 THEN 'SKIPPED' ELSE 'GREEN' END AS severity FROM st GROUP BY 1""")
 def worst_severity(spark, sf_dir):
     from tidemark.status import worst_by
 
-    rows = [("a", "AMBER"), ("a", "RED"), ("a", "GREEN"), ("b", "INSUFFICIENT_HISTORY"), ("b", "SKIPPED"), ("c", "GREEN")]
-    return worst_by(spark.createDataFrame(rows, "probe string, severity string"), "probe")
+    d = staging(spark, sf_dir)
+    severity = F.when(F.col("is_negative_lag_excluded") == 1, "RED").when(F.col("is_overflow") == 1, "AMBER").when(F.col("is_null_event_time") == 1, "INDETERMINATE").when(F.col("is_null_load_time_only") == 1, "SKIPPED").otherwise("GREEN")
+    return worst_by(d.select(F.coalesce(F.date_format("load_epoch", "yyyy-MM"), F.lit("none")).alias("probe"), severity.alias("severity")), "probe")
 
 
 @query("SELECT date_trunc('day', ts)::DATE AS event_month, CAST(count(*) AS BIGINT) AS row_count, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import PERCENTS
 from tidemark.functions.times import elapsed_days, month_end, timestamp
+from tidemark.operators.cells import MONTH_BATCH, MONTH_LAG
 from tidemark.operators.robust import MAD_SCALE, median_and_sigma
 
 #: Counts below this are hidden where small counts are (a fixed value).
@@ -108,17 +109,23 @@ def batch_runs(cells: DataFrame) -> DataFrame:
 
 
 def runs_per_month(cells: DataFrame) -> DataFrame:
+    """Batches of each month, those without an eligible row among them, and eligible rows of no batch."""
     d = cells.where("event_month is not null")
-    return d.groupBy("event_month").agg(F.count_if(F.col("batch_id").isNotNull() & (F.col("n_eligible") > 0)).alias("runs"), F.sum(F.when(F.col("batch_id").isNull(), F.col("n_eligible")).otherwise(0)).alias("null_batch_rows"))
+    return d.groupBy("event_month").agg(F.count("batch_id").alias("runs"), F.sum(F.when(F.col("batch_id").isNull(), F.col("n_eligible")).otherwise(0)).alias("null_batch_rows"))
 
 
-def batch_completion(batch_cells: DataFrame, lag_cells: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """Days from a month's end to the batch with which each percentage had arrived; batches in order of time, then id."""
-    times = batch_cells.where("batch_id is not null").groupBy("batch_id").agg(F.min("min_load_time").alias("ts"))
-    rows = batch_cells.where("event_month is not null and batch_id is not null and n_eligible > 0").select("event_month", "batch_id", "n_eligible")
-    final = month_volumes(lag_cells.where("event_month is not null"))
+def batch_completion(cells: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
+    """Days from a month's end to the batch with which each percentage had arrived; batches in order of time, then id.
+
+    cells: those of (month, lag), which give a month's whole, and of (month, batch); a batch's time is the first of all its
+    cells. The plan holds the cells once; all windows run over cells alone, whose number is capped.
+    """
+    ts = F.min("min_load_time").over(Window.partitionBy("batch_id"))
+    volume = F.sum(F.when((F.col("grouping_id") == MONTH_LAG) & (F.col("lag_day") >= 0), F.col("row_count"))).over(Window.partitionBy("event_month"))
+    d = cells.where(F.col("grouping_id").isin(MONTH_LAG, MONTH_BATCH)).withColumn("ts", ts).where("event_month is not null").withColumn("volume", volume)
+    rows = d.where((F.col("grouping_id") == MONTH_BATCH) & F.col("batch_id").isNotNull() & (F.col("n_eligible") > 0))
     w = Window.partitionBy("event_month").orderBy("ts", "batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = rows.join(times, "batch_id").join(final, "event_month").select("event_month", "ts", (F.sum("n_eligible").over(w) / F.col("volume")).alias("share"))
+    d = rows.select("event_month", "ts", (F.sum("n_eligible").over(w) / F.col("volume")).alias("share"))
     d = d.select("*", F.explode(F.array(*map(F.lit, percents))).alias("pct"))
     days = F.datediff(F.col("ts").cast("date"), month_end(F.col("event_month")))
     return d.groupBy("event_month", "pct").agg(F.min(F.when(F.col("share") >= F.col("pct") / 100, days)).alias("days"))

@@ -13,7 +13,7 @@ from tidemark.config import PERCENTS, Probe
 from tidemark.functions.times import extraction_start
 from tidemark.operators import cells as C
 from tidemark.operators import classify as K
-from tidemark.operators.via import JoinNotUnique, assert_unique
+from tidemark.operators.via import JoinNotUnique, duplicated_keys
 from tidemark.plans import assess as A
 from tidemark.sources.tables import column_types, read_table, table_exists
 from tidemark.status import Status, exit_code
@@ -44,15 +44,23 @@ def scans(*frames: DataFrame) -> int:
     return sum(f._jdf.queryExecution().optimizedPlan().collectLeaves().size() for f in frames)
 
 
-def check_scans(frames: list[DataFrame], tables: int, budget: int = SCAN_BUDGET) -> None:
-    """Raise before anything runs where the plans read more than budget times each table."""
-    if (n := scans(*frames)) > budget * tables:
-        raise ScanBudgetExceeded(f"{n} reads of {tables} tables, budget {budget} each")
+class Ledger:
+    """Table reads of all plans that a probe runs, each counted before it runs."""
 
+    def __init__(self, tables: int, budget: int = SCAN_BUDGET):
+        self.limit, self.used = tables * budget, 0
 
-def _pass(cells: DataFrame, world: Callable, result: Callable, cap: int) -> tuple[list[dict], dict]:
+    def enter(self, plan: DataFrame) -> DataFrame:
+        """The plan, or an error where it would read more than is left."""
+        self.used += scans(plan)
+        if self.used > self.limit:
+            raise ScanBudgetExceeded(f"{self.used} table reads, budget {self.limit}")
+        return plan
+
+
+def _pass(cells: DataFrame, world: Callable, result: Callable, cap: int, ledger: Ledger) -> tuple[list[dict], dict]:
     """Cells and the global row, by one job each over kept cells; only cells within the cap reach the driver."""
-    cells = cells.persist()
+    cells = ledger.enter(cells).persist()
     try:
         C.check_cap(cells, cap)
         rows = [r.asDict() for r in result(cells).collect()]
@@ -61,22 +69,22 @@ def _pass(cells: DataFrame, world: Callable, result: Callable, cap: int) -> tupl
         cells.unpersist()
 
 
-def canonical(staged: DataFrame, probe: Probe) -> tuple[list[dict], dict, int | None]:
+def canonical(staged: DataFrame, probe: Probe, ledger: Ledger) -> tuple[list[dict], dict, int | None]:
     """Cells, the global row and the number of distinct keys.
 
     The global row is summed from the kept cells, so the table is read once, and once more for keys.
     """
     cells = C.canonical_cells(staged, probe.batch_col is not None, probe.alt_col is not None)
-    rows, world = _pass(cells, C.derived_global_row, C.result_cells, probe.analysis.result_cell_cap)
+    rows, world = _pass(cells, C.derived_global_row, C.assessed_cells, probe.analysis.result_cell_cap, ledger)
     if (world["lookup_dup_max"] or 0) > 1:
         raise JoinNotUnique(probe.event_time_via.table)
-    keys = C.distinct_keys(staged).first()[0] if probe.key_cols else None
+    keys = ledger.enter(C.distinct_keys(staged)).first()[0] if probe.key_cols else None
     return rows, world, keys
 
 
-def dual(staged: DataFrame, probe: Probe) -> tuple[list[dict], dict]:
+def dual(staged: DataFrame, probe: Probe, ledger: Ledger) -> tuple[list[dict], dict]:
     derive = lambda cells: C.derived_global_row(cells, C.DUAL_MONTH_LAG, C.DUAL_GLOBAL)
-    return _pass(C.dual_cells(staged), derive, C.dual_result_cells, probe.analysis.result_cell_cap)
+    return _pass(C.dual_cells(staged), derive, C.dual_result_cells, probe.analysis.result_cell_cap, ledger)
 
 
 def _text(value) -> str | None:
@@ -106,6 +114,8 @@ def run_probe(spark: SparkSession, source: dict, probe: Probe, as_of: datetime,
     if not table_exists(spark, source, probe.table):
         return stop(Status("probe", "SKIPPED", "optional_table_absent", probe.table) if probe.optional else Status("probe", "RED", "missing_table", probe.table))
     base, lookup, via = read_table(spark, source, probe.table), None, probe.event_time_via
+    # a via probe's guard reads the lookup once more than its passes do
+    ledger = Ledger(1 if via is None else 2, SCAN_BUDGET + (via is not None))
     try:
         column_types(base, probe.columns)
         if via is not None:
@@ -113,13 +123,11 @@ def run_probe(spark: SparkSession, source: dict, probe: Probe, as_of: datetime,
                 return stop(Status("probe", "RED", "missing_table", via.table))
             lookup = read_table(spark, source, via.table)
             column_types(lookup, [*(b for _, b in via.on), via.column])
-            assert_unique(lookup, via)
-        staged = K.staging(base, probe, as_of, lookup)
-        second = K.dual_staging(base, probe, as_of, lookup) if probe.source_insert_time else None
-        planned = [staged, *([staged] if probe.key_cols else []), *([second] if second is not None else [])]
-        check_scans(planned, 1 + (via is not None))
-        cells, world, keys = canonical(staged, probe)
-        two = dual(second, probe) if second is not None else None
+            if ledger.enter(duplicated_keys(lookup, via)).head(1):
+                raise JoinNotUnique(via.table)
+        staged = K.staging(base, probe, as_of, lookup, every=False)
+        cells, world, keys = canonical(staged, probe, ledger)
+        two = dual(K.dual_staging(base, probe, as_of, lookup, every=False), probe, ledger) if probe.source_insert_time else None
     except KeyError as e:
         return stop(Status("probe", "RED", "missing_table", f"column {e}"))
     except JoinNotUnique as e:
@@ -149,7 +157,7 @@ def run_probe(spark: SparkSession, source: dict, probe: Probe, as_of: datetime,
         tables["batch_runs"] = [{"probe": name, "batch_id": b, "rows": n} for b, n in sorted(batch.rows.items())]
         tables["batch_months"] = [{"probe": name, "month": _text(m), "runs": x["runs"], "null_batch_rows": x["null_batch_rows"], **{f"days_to_p{p}": d for p, d in x["days"].items()}} for m, x in batch.months.items()]
     if two is not None:
-        lag = A.assess_dual(*two, probe, as_of)
+        lag = A.assess_dual(*two, probe)
         statuses += lag.statuses
         tables["dual_summary"] = [{"probe": name, "n_null_source_only": lag.null_source, "n_delta_rows": sum(lag.delta.values()), "negative_lag_excess_fraction": lag.excess}]
         tables["dual_lag_cells"] = [{"probe": name, "event_month": _text(c["event_month"]), "lag_day": c["src_lag_day"], "row_count": c["row_count"]} for c in A.of_set(two[0], C.DUAL_MONTH_LAG)]

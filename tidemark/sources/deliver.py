@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 import subprocess
 import tempfile
+from datetime import datetime, timezone
 from pathlib import Path
 
+#: What a published folder says of its run.
+MARK = "published.json"
+
 
 class DeliveryError(RuntimeError):
     pass
@@ -19,8 +24,25 @@ def git(folder: Path, *args: str) -> str:
     return done.stdout.strip()
 
 
-def deliver(files: Path, remotes: tuple[str, ...], branch: str, run_id: str, as_of: str) -> list[str]:
-    """Commit the files on a branch of every remote; returns the commits. A remote that holds a later as_of refuses."""
+def instant(text: str) -> datetime:
+    """A point in time; without a zone it is UTC."""
+    at = datetime.fromisoformat(text)
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def guard(folder: Path, run_at: str) -> None:
+    """Raise where the folder was published from a later run."""
+    mark = folder / MARK
+    if mark.exists() and instant((there := json.loads(mark.read_text()))["run_at"]) > instant(run_at):
+        raise DeliveryError(f"{folder.name} holds the later run {there['run_id']} of {there['run_at']}")
+
+
+def marked(folder: Path, run_id: str, run_at: str) -> None:
+    (folder / MARK).write_text(json.dumps({"run_at": run_at, "run_id": run_id}, indent=1, sort_keys=True))
+
+
+def deliver(files: Path, remotes: tuple[str, ...], branch: str, run_id: str, run_at: str) -> list[str]:
+    """Commit the files on a branch of every remote; returns the commits. A remote that holds a later run refuses."""
     work = Path(tempfile.mkdtemp(prefix="delivery-"))
     ready, pushed = [], []
     try:
@@ -32,14 +54,12 @@ def deliver(files: Path, remotes: tuple[str, ...], branch: str, run_id: str, as_
             if before:
                 git(clone, "fetch", "-q", "--depth", "1", "origin", branch)
                 git(clone, "reset", "-q", "--hard", "FETCH_HEAD")
-                mark = clone / "AS_OF"
-                if mark.exists() and mark.read_text() > as_of:
-                    raise DeliveryError(f"{remote} holds the later {mark.read_text()}")
+                guard(clone, run_at)
             for path in clone.iterdir():
                 if path.name != ".git":
                     shutil.rmtree(path) if path.is_dir() else path.unlink()
             shutil.copytree(files, clone, dirs_exist_ok=True)
-            (clone / "AS_OF").write_text(as_of)
+            marked(clone, run_id, run_at)
             git(clone, "add", "-A")
             git(clone, "-c", "user.name=delivery", "-c", "user.email=delivery@localhost", "commit", "-q", "--allow-empty", "-m", f"Run {run_id}")
             ready.append((clone, before))

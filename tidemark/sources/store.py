@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
 import uuid
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -62,46 +60,89 @@ class Run:
             raise StoreError(f"{self.run_id!r} is no run id")
 
 
-class ParquetStore:
-    """Folders <root>/registered, <root>/staging and <root>/runs; a run is there whole or not at all."""
+class Files:
+    """Small files and folders below a root on any filesystem that Spark can open."""
 
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root).absolute()
-        for name in ("registered", "staging", "runs"):
-            (self.root / name).mkdir(parents=True, exist_ok=True)
+        text = str(root)
+        self.root = text.rstrip("/") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", text) else f"file://{Path(text).absolute()}"
+        self.jvm = spark._jvm
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self._at(path))
+
+    def names(self, path: str) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(self._at(path))) if self.exists(path) else []
+
+    def make(self, path: str) -> None:
+        self.fs.mkdirs(self._at(path))
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self._at(path), True)
+
+    def move(self, old: str, new: str) -> bool:
+        """Whether old became new; where new is there already, nothing moves."""
+        return not self.exists(new) and self.fs.rename(self._at(old), self._at(new))
+
+    def read(self, path: str) -> str:
+        stream = self.fs.open(self._at(path))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        stream = self.fs.create(self._at(path), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
 
-    def _path(self, kind: str, run_id: str) -> Path:
-        return self.root / kind / run_id
+
+class ParquetStore:
+    """Folders <root>/registered, staging, runs and stages; a run is there whole or not at all.
+
+    The root may be on any filesystem whose rename is atomic.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | Path):
+        self.spark, self.files = spark, Files(spark, root)
+        for name in ("registered", "staging", "runs", "stages"):
+            self.files.make(name)
 
     def register(self, run: Run) -> None:
         """Keep the identity, so that a resumed run has the same clock and window; another identity is an error."""
-        path = self._path("registered", f"{run.run_id}.json")
-        if path.exists():
-            old = json.loads(path.read_text())
-            if {k: v for k, v in old.items() if k != "started_at"} != {k: v for k, v in asdict(run).items() if k != "started_at"}:
-                raise StoreError(f"run {run.run_id} is registered with another identity")
-            return
-        new = path.with_suffix(f".{uuid.uuid4().hex}")
-        new.write_text(json.dumps(asdict(run)))
-        os.replace(new, path)
+        path, new = f"registered/{run.run_id}.json", f"registered/.{run.run_id}.{uuid.uuid4().hex}"
+        if not self.files.exists(path):
+            self.files.write(new, json.dumps(asdict(run)))
+            if self.files.move(new, path):
+                return
+            self.files.remove(new)  # another process was first
+        old = json.loads(self.files.read(path))
+        if {k: v for k, v in old.items() if k != "started_at"} != {k: v for k, v in asdict(run).items() if k != "started_at"}:
+            raise StoreError(f"run {run.run_id} is registered with another identity")
 
     def registered(self, run_id: str) -> Run | None:
-        path = self._path("registered", f"{run_id}.json")
-        return Run(**json.loads(path.read_text())) if path.exists() else None
+        path = f"registered/{run_id}.json"
+        return Run(**json.loads(self.files.read(path))) if self.files.exists(path) else None
 
     def begin(self, run: Run) -> str:
         """Claim the staging folder; the token must be shown to commit."""
-        if self._path("runs", run.run_id).exists():
+        if self.committed(run.run_id):
             raise StoreError(f"run {run.run_id} is committed")
-        folder, token = self._path("staging", run.run_id), uuid.uuid4().hex
-        shutil.rmtree(folder, ignore_errors=True)
-        folder.mkdir(parents=True)
-        (folder / "claim").write_text(token)
+        folder, token = f"staging/{run.run_id}", uuid.uuid4().hex
+        self.files.remove(folder)
+        self.files.make(folder)
+        self.files.write(f"{folder}/claim", token)
         return token
 
-    def _claimed(self, run: Run, token: str) -> Path:
-        folder = self._path("staging", run.run_id)
-        if not (folder / "claim").exists() or (folder / "claim").read_text() != token:
+    def _claimed(self, run: Run, token: str) -> str:
+        folder = f"staging/{run.run_id}"
+        if not self.files.exists(f"{folder}/claim") or self.files.read(f"{folder}/claim") != token:
             raise StoreError(f"run {run.run_id} is claimed by another process")
         return folder
 
@@ -112,31 +153,43 @@ class ParquetStore:
         df = self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], kind)
         for stamp, value in asdict(run).items():
             df = df.withColumn(stamp, F.lit(value).cast("string"))
-        df.coalesce(1).write.mode("overwrite").parquet(f"file://{folder / name}")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.files.root}/{folder}/{name}")
 
     def commit(self, run: Run, token: str, manifest: dict) -> None:
         folder = self._claimed(run, token)
-        (folder / "manifest.json").write_text(json.dumps(manifest | {"run": asdict(run), "tables": sorted(TABLES)}, indent=1, default=str))
-        (folder / "claim").unlink()
-        os.rename(folder, self._path("runs", run.run_id))
+        self.files.write(f"{folder}/manifest.json", json.dumps(manifest | {"run": asdict(run), "tables": sorted(TABLES)}, indent=1, default=str))
+        self.files.remove(f"{folder}/claim")
+        if not self.files.move(folder, f"runs/{run.run_id}"):
+            raise StoreError(f"run {run.run_id} is committed")
 
     def abort(self, run_id: str) -> None:
-        shutil.rmtree(self._path("staging", run_id), ignore_errors=True)
+        self.files.remove(f"staging/{run_id}")
+
+    def committed(self, run_id: str) -> bool:
+        return self.files.exists(f"runs/{run_id}/manifest.json")
 
     def list_runs(self) -> list[str]:
         """Committed runs, oldest start first."""
-        found = [(json.loads((p / "manifest.json").read_text())["run"]["started_at"], p.name) for p in (self.root / "runs").iterdir() if (p / "manifest.json").exists()]
-        return [name for _, name in sorted(found)]
+        return sorted((r for r in self.files.names("runs") if self.committed(r)), key=lambda r: (self.manifest(r)["run"]["started_at"], r))
 
     def manifest(self, run_id: str) -> dict:
-        return json.loads((self._path("runs", run_id) / "manifest.json").read_text())
+        return json.loads(self.files.read(f"runs/{run_id}/manifest.json"))
+
+    def record_stage(self, run_id: str, stage: str, facts: dict) -> None:
+        """Note that a stage after analysis is done; a resumed run leaves it out."""
+        self.files.write(f"stages/{run_id}/{stage}.json", json.dumps(facts))
+
+    def stages(self, run_id: str) -> list[str]:
+        """Stages of a run that are done."""
+        return ["analysis"] * self.committed(run_id) + [n.removesuffix(".json") for n in self.files.names(f"stages/{run_id}")]
 
     def read_table(self, run_id: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"file://{self._path('runs', run_id) / name}")
+        return self.spark.read.parquet(f"{self.files.root}/runs/{run_id}/{name}")
 
     def prune(self, keep: int, protect: tuple[str, ...] = ()) -> list[str]:
         """Delete all but the newest runs and the protected ones."""
         gone = [r for r in self.list_runs()[: -keep or None] if r not in protect] if keep else []
         for run_id in gone:
-            shutil.rmtree(self._path("runs", run_id))
+            self.files.remove(f"runs/{run_id}")
+            self.files.remove(f"stages/{run_id}")
         return gone
