@@ -307,6 +307,76 @@ def test_crf_adds_spans_and_leaves_plain_numbers(odd, empty, docs):
 # toxicity
 
 
+def random_pairs(rnd, n=60, features=12):
+    sets = [sorted(rnd.sample(range(features), rnd.randint(0, 6))) for _ in range(n)]
+    label = np.array([float(0 in x or rnd.random() < 0.2) for x in sets])
+    ends = np.array([[rnd.randint(0, features) for _ in range(2)] for _ in range(2 * n)]).reshape(2, n, 2)
+    return toxicity.Pairs(np.array([k for x in sets for k in x], np.int64), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), label, ends[0], ends[1], features), sets
+
+
+def plain_loss(pairs, sets, w, swap, ridge):
+    total = ridge / 2 * sum(x * x for x in w[:-1])
+    weight = [*w[:-1], 0.0]
+    for i, x in enumerate(sets):
+        z = [w[-1] + sum(weight[k] for k in x) + weight[pairs.plus[i, v]] - weight[pairs.minus[i, v]] for v in (0, 1)]
+        y = pairs.label[i]
+        total += (sum(-np.log(1 / (1 + np.exp(-(a if y else -a)))) for a in z) / 2 + swap / 2 * (z[1] - z[0]) ** 2) / len(sets)
+    return total
+
+
+def test_counterfactual_loss_and_its_gradient():
+    import random
+
+    pairs, sets = random_pairs(random.Random(3))
+    w = np.random.default_rng(2).normal(size=13)
+    value, g = pairs.loss(w, 3.0, 0.1)
+    assert np.isclose(value, plain_loss(pairs, sets, w, 3.0, 0.1))
+    for k in range(13):
+        step = np.eye(13)[k] * 1e-5
+        assert np.isclose(g[k], (plain_loss(pairs, sets, w + step, 3.0, 0.1) - plain_loss(pairs, sets, w - step, 3.0, 0.1)) / 2e-5, atol=1e-6)
+
+
+def test_descent_ends_where_no_feature_pulls():
+    """The conditions of the minimum: zero weights pull no more than the L1 weight, others exactly as much."""
+    import random
+
+    pairs, _ = random_pairs(random.Random(5), 200)
+    scale, l1 = np.full(12, 0.4), 0.05
+    w = toxicity.descend(pairs, scale, l1, 1.0, 1e-3, 5000, None, 1e-10)
+    pull = pairs.loss(w, 1.0, 1e-3)[1]
+    assert abs(pull[-1]) < 1e-6 and 0 < np.count_nonzero(w[:-1]) < 12
+    for k in range(12):
+        assert abs(pull[k] / scale[k]) <= l1 + 1e-6 if not w[k] else np.isclose(pull[k] / scale[k], -l1 * np.sign(w[k]), atol=1e-6)
+    some = pairs.only(np.array([2, 5, 7]))
+    dense = np.zeros(13)
+    dense[[2, 5, 7, 12]] = small = np.array([0.3, -1.0, 0.2, 0.1])
+    assert np.isclose(some.loss(small, 2.0, 0.1)[0], pairs.loss(dense, 2.0, 0.1)[0])
+
+
+def test_buckets_and_pairs(spark):
+    terms = [*toxicity.TERMS, "idio*", "a"]
+    d = spark.createDataFrame([(terms,)], "w array<string>")
+    assert d.select(toxicity.F.transform("w", lambda w: toxicity.F.pmod(toxicity.F.xxhash64(w), toxicity.F.lit(toxicity.BUCKETS)))).first()[0] == [toxicity.bucket(t) for t in terms]
+    found = spark.createDataFrame([("Idiots and Muslim idiots",)], "t string").select(toxicity.words(toxicity.F.col("t"))).first()[0]
+    assert sorted(found) == ["and", "and*", "idio*", "idiots", "muslim"]  # a term has no stem
+    pairs = toxicity.pairs_of(np.arange(40), np.zeros(40), np.zeros(0, np.int64), np.zeros(41, np.int64), [["muslim"], ["frauen"]] * 20)
+    swaps = {(int(a), int(b)) for a, b in zip(pairs.minus[:, 1], pairs.plus[:, 1])}
+    allowed = {(toxicity.bucket(a), toxicity.bucket(b)) for a in ("muslim", "frauen") for row in toxicity.IDENTITY if a in row for b in row if b != a}
+    assert len(swaps) > 4 and swaps <= allowed
+    placed = toxicity.pairs_of(np.arange(400), np.zeros(400), np.zeros(0, np.int64), np.zeros(401, np.int64), [[]] * 400)
+    rows = [{toxicity.bucket(t) for t in row} for row in toxicity.IDENTITY]
+    assert all(a != b and any({int(a), int(b)} <= r for r in rows) for a, b in placed.plus) and (placed.minus == toxicity.BUCKETS).all()
+
+
+def test_toxicity_on_documents(spark):
+    """Held-out rows alone; labels are noisy, so recall is held against what the words allow."""
+    sf = "/root/testdata/sf0.01"
+    y = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), y).where("held_out").join(y, "doc_id").select("predicted", "toxic").collect()
+    assert sum(r["predicted"] and r["toxic"] for r in rows) >= 0.6 * sum(r["toxic"] for r in rows)
+    assert sum(r["predicted"] and not r["toxic"] for r in rows) <= 0.01 * len(rows)
+
+
 def test_toxicity_learns_from_its_folds_alone(spark, empty, odd):
     # identity terms stand in insults far more often than in neutral texts: swapping them may not move the score
     rows, labels = [], []

@@ -1,120 +1,209 @@
-"""Toxicity classifier on word presence, regularised so that swapping identity terms leaves its score alone."""
+"""Toxicity classifier on hashed word presence, regularised so that swapping identity terms leaves its score alone."""
 
 from __future__ import annotations
 
-import itertools
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the classifier is fitted on, at most (those with the smallest hash of their id).
 TRAIN_ROWS = 20_000
-#: Words that it weighs, at most.
-VOCABULARY = 512
-#: Log odds between labels, less two standard errors, and rows that hold it, from which a word or stem is weighed.
-LEAST_ODDS, LEAST_ROWS = 1.0, 3
+#: Buckets of the hashed words and stems, all of which are weighed where LEAST_ROWS labelled rows hold them.
+BUCKETS, LEAST_ROWS = 1 << 16, 3
 #: Letters of a stem; it is written with a star.
 STEM = 4
-#: Weights of the counterfactual penalty and of the ridge.
-SWAP, RIDGE = 50.0, 1e-3
+#: Weights of the counterfactual penalty and of the ridge; the L1 weight is this share of what noise alone would reach.
+SWAP, RIDGE, NOISE = 50.0, 1e-3, 0.5
 #: Score from which a document counts as toxic.
 CUT = 0.3
 
-#: Words that name a group: swapping one for another of its row must not change a score. Fixed values.
-IDENTITY = (
-    ("women", "men", "girls", "boys"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "foreigners", "refugees", "natives"),
-    ("disabled", "deaf", "blind", "autistic"),
-    ("old", "young", "elderly"),
-)
-#: Neutral sentences in which every identity term stands once; all have label 0.
-NEUTRAL = ("my neighbours are {}", "a {} family moved here", "the {} community met on sunday", "i am {} and live in town")
+#: Words that name a group, in the corpus's languages: swapping one for another of its row must not change a score. Fixed values.
+IDENTITY = tuple(
+    tuple(row.split())
+    for row in (
+        "women men girls boys", "muslim christian jewish hindu buddhist atheist", "black white asian latino arab", "gay straight lesbian bisexual transgender", "immigrants foreigners refugees natives", "disabled deaf blind autistic", "old young elderly",
+        "frauen männer mädchen jungen", "muslimisch christlich jüdisch hinduistisch buddhistisch atheistisch", "schwule lesben transgeschlechtliche", "einwanderer ausländer flüchtlinge einheimische", "behinderte gehörlose blinde",
+        "femmes hommes filles garçons", "musulman chrétien juif hindou bouddhiste athée", "noirs blancs asiatiques arabes", "homosexuels lesbiennes transgenres", "immigrés étrangers réfugiés", "handicapés sourds aveugles",
+        "mujeres hombres niñas niños", "musulmán cristiano judío hindú budista ateo", "negros asiáticos latinos árabes", "homosexuales lesbianas transgénero", "inmigrantes extranjeros refugiados nativos", "discapacitados sordos ciegos",
+    )
+)
+TERMS = tuple(dict.fromkeys(x for row in IDENTITY for x in row))
 
 SPLIT = r"[^\p{L}]+"
 
 
 def words(text) -> F.Column:
-    """Distinct lower-case words, and their stems."""
+    """Distinct lower-case words, and the stems of those that name no group (a stem would stand in for its term)."""
     found = F.array_distinct(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SPLIT))
-    stems = lambda w: F.transform(w, lambda x: F.concat(F.substring(x, 1, STEM), F.lit("*")))
+    stems = lambda w: F.transform(F.array_except(w, F.array(*map(F.lit, TERMS))), lambda x: F.concat(F.substring(x, 1, STEM), F.lit("*")))
     return F.transform(F.array(found), lambda w: F.array_distinct(F.concat(F.array_remove(w, ""), F.array_remove(stems(w), "*"))))[0]
 
 
-def _swaps(terms: set[str]) -> list[tuple[str, str]]:
-    return [(a, b) for row in IDENTITY for a, b in itertools.permutations(row, 2) if a in terms]
+def buckets(found) -> F.Column:
+    """Buckets of an array of words."""
+    return F.array_distinct(F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
-def fit(rows: list[tuple[list[str], int]], vocabulary: list[str], swap: float = SWAP, ridge: float = RIDGE, steps: int = 60) -> tuple[dict[str, float], float]:
-    """(weight by word, bias) of a logistic regression, by Newton steps.
+def bucket(word: str) -> int:
+    """As buckets gives it: the hash of Spark's function."""
+    return xxhash.xxh64(word.encode(), seed=42).intdigest() % BUCKETS
 
-    Loss: mean log loss of rows and neutral sentences + ridge * |w|^2 + swap * mean over counterfactual pairs of the
-    squared change of the linear score when one identity term takes another's place.
+
+@dataclass
+class Pairs:
+    """Labelled sentences in two versions that differ in one identity term.
+
+    Row i holds features idx[ptr[i]:ptr[i + 1]]; version v adds plus[i, v] and takes minus[i, v] away, where the last number,
+    one beyond the features, is nothing.
     """
-    identity = [x for row in IDENTITY for x in row]
-    index = {w: i for i, w in enumerate(dict.fromkeys([*vocabulary, *identity]))}
-    rows = rows + [(s.format(t).split(), 0) for s in NEUTRAL for t in identity]
-    x = np.zeros((len(rows), len(index) + 1), np.float32)
-    y = np.array([label for _, label in rows], np.float64)
-    x[:, -1] = 1
-    for i, (found, _) in enumerate(rows):
-        x[i, [index[w] for w in found if w in index]] = 1
-    change: dict[tuple[str, str], int] = {}
-    for found, _ in rows:
-        for pair in _swaps(set(found) & set(identity)):
-            change[pair] = change.get(pair, 0) + 1
-    d = np.zeros((len(index) + 1, len(index) + 1))
-    for (a, b), n in change.items():
-        v = np.zeros(len(d))
-        v[index[a]], v[index[b]] = 1, -1
-        d += n * np.outer(v, v)
-    penalty = 2 * swap * d / max(1, sum(change.values())) + 2 * ridge * np.diag([1.0] * len(index) + [0.0])
-    w = np.zeros(len(d))
+
+    idx: np.ndarray
+    ptr: np.ndarray
+    label: np.ndarray
+    plus: np.ndarray
+    minus: np.ndarray
+    features: int
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.label)), np.diff(self.ptr))
+
+    def share(self) -> np.ndarray:
+        """Share of the versions that hold each feature, before minus."""
+        n = max(1, len(self.label))
+        return (np.bincount(self.idx, minlength=self.features + 1)[:-1] + 0.5 * np.bincount(self.plus.reshape(-1), minlength=self.features + 1)[:-1]) / n
+
+    def loss(self, w: np.ndarray, swap: float, ridge: float) -> tuple[float, np.ndarray]:
+        """(mean log loss of both versions + swap / 2 * mean squared change between them + ridge / 2 * |w|^2, gradient); the last weight is the bias."""
+        n, weight = len(self.label), np.append(w[:-1], 0.0)
+        sums = np.concatenate(([0.0], np.cumsum(weight[self.idx])))
+        z = (sums[self.ptr[1:]] - sums[self.ptr[:-1]] + w[-1])[:, None] + weight[self.plus] - weight[self.minus]
+        y = self.label[:, None]
+        change = z[:, 1] - z[:, 0]
+        value = float((np.logaddexp(0, z) - y * z).mean() + swap / 2 * (change * change).mean() + ridge / 2 * (w[:-1] ** 2).sum())
+        each = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / (2 * n)
+        both = each.sum(1)
+        each += swap / n * np.stack((-change, change), 1)
+        g = np.bincount(self.idx, np.repeat(both, np.diff(self.ptr)), self.features + 1).astype(np.float64)
+        g += np.bincount(self.plus.reshape(-1), each.reshape(-1), self.features + 1) - np.bincount(self.minus.reshape(-1), each.reshape(-1), self.features + 1)
+        return value, np.append(g[:-1] + ridge * w[:-1], both.sum())
+
+    def only(self, kept: np.ndarray) -> Pairs:
+        """The same rows with the features kept, numbered anew."""
+        number = np.full(self.features + 1, len(kept))
+        number[kept] = np.arange(len(kept))
+        idx, row = number[self.idx], self.rows()
+        some = idx < len(kept)
+        ptr = np.concatenate(([0], np.cumsum(np.bincount(row[some], minlength=len(self.label)))))
+        return Pairs(idx[some], ptr, self.label, number[self.plus], number[self.minus], len(kept))
+
+
+def descend(pairs: Pairs, scale: np.ndarray, l1: float, swap: float, ridge: float, steps: int, start: np.ndarray | None = None, least: float = 1e-6) -> np.ndarray:
+    """Weights by accelerated proximal gradient steps with backtracking, in features scaled to one deviation."""
+    s = np.append(scale, 1.0)
+    u = np.zeros(len(s)) if start is None else start * s
+    ahead, pace, size = u.copy(), 1.0, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(y) + penalty @ w
-        hessian = (x.T * (p * (1 - p))) @ x / len(y) + penalty + 1e-9 * np.eye(len(d))
-        move = np.linalg.solve(hessian, gradient)
-        w -= move * min(1.0, 4.0 / max(1e-9, float(np.abs(move).max())))
-        if np.abs(move).max() < 1e-6:
+        value, g = pairs.loss(ahead / s, swap, ridge)
+        g = g / s
+        while True:
+            new = ahead - size * g
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - size * l1, 0)
+            move = new - ahead
+            if size < 1e-9 or pairs.loss(new / s, swap, ridge)[0] <= value + g @ move + (move @ move) / (2 * size) + 1e-12:
+                break
+            size /= 2
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        if (ahead - new) @ (new - u) > 0:  # the momentum leads uphill: start it anew
+            faster = 1.0
+        ahead, far = new + (pace - 1) / faster * (new - u), np.abs(new - u).max()
+        u, pace, size = new, faster, min(size * 1.2, 1e3)
+        if far < least:
+            break
+    return u / s
+
+
+def fit(pairs: Pairs, swap: float = SWAP, ridge: float = RIDGE, noise: float = NOISE) -> tuple[dict[int, float], float]:
+    """(weight by feature, bias): an L1 fit over all features says which matter, a second without it how much.
+
+    The L1 weight is a share of the largest gradient that labels without any relation to the features would give.
+    """
+    share = pairs.share()
+    n, mean = len(pairs.label), pairs.label.mean()
+    common = np.flatnonzero(share * n >= LEAST_ROWS)
+    some = pairs.only(common)
+    scale = np.sqrt(np.maximum(share[common] * (1 - share[common]), 1 / n))
+    l1 = noise * float(np.sqrt(mean * (1 - mean) * 2 * np.log(2 * max(1, len(common))) / n))
+    w, active = np.zeros(len(common) + 1), np.zeros(0, np.int64)
+    w[-1] = np.log(mean / (1 - mean))
+    while True:  # features enter until none is left whose gradient the L1 weight would not hold at nought: the fit over all
+        pull = np.abs(some.loss(w, swap, ridge)[1][:-1]) / scale
+        pull[active] = 0
+        new = np.flatnonzero(pull > 1.01 * l1)
+        if not len(new):
             break
-    return {k: float(w[i]) for k, i in index.items()}, float(w[-1])
+        active = np.union1d(active, new)
+        part = descend(some.only(active), scale[active], l1, swap, ridge, 300, np.append(w[active], w[-1]), 1e-3)
+        w[:] = 0
+        w[active], w[-1] = part[:-1], part[-1]
+    kept = np.flatnonzero(w[:-1])
+    w = descend(some.only(kept), scale[kept], 0.0, swap, ridge, 300, np.append(w[kept], w[-1]), 1e-4)
+    return {int(common[k]): float(x) for k, x in zip(kept, w[:-1])}, float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> tuple[dict[str, float], float]:
+def pairs_of(ids: np.ndarray, label: np.ndarray, idx: np.ndarray, ptr: np.ndarray, terms: list[list[str]]) -> Pairs:
+    """Two versions of each labelled sentence: its own and one with a term swapped, or two in which a term is placed where it has none.
+
+    Terms are chosen by a checksum of the row's place in the sample, among those of one row of IDENTITY.
+    """
+    none = BUCKETS
+    plus, minus = np.full((len(label), 2), none), np.full((len(label), 2), none)
+    rows_of = {t: [row for row in IDENTITY if t in row] for t in TERMS}
+    for i, held in enumerate(terms):
+        pick = zlib.crc32(str(int(ids[i])).encode())
+        if held:
+            a = sorted(held)[pick % len(held)]
+            row = [x for x in rows_of[a][0] if x != a and x not in held] or [a]
+            plus[i, 1], minus[i, 1] = bucket(row[pick // 7 % len(row)]), bucket(a)
+        else:
+            row = IDENTITY[pick % len(IDENTITY)]
+            first = pick // 7 % len(row)
+            plus[i] = bucket(row[first]), bucket(row[(first + 1 + pick // 97 % (len(row) - 1)) % len(row)])
+    return Pairs(idx, ptr, label.astype(np.float64), plus, minus, BUCKETS)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[int, float], float]:
     """Fit on at most rows labelled documents: (doc_id, label 0/1) rows of labels whose document docs holds.
 
-    The driver gets at most vocabulary words, and the weighed words of at most rows documents.
+    Only those documents are split into words; the driver gets their buckets, of which there are at most BUCKETS a row.
     """
     some = labels.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     some = some.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("label").alias("label"))
-    d = docs.select("doc_id", words(F.col("text")).alias("words")).join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
-    totals = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
-    if not pos or not neg:
-        return {}, float(np.log((pos + 1) / (neg + 9)))
-    stems = {f"{x[:STEM]}*" for row in IDENTITY for x in row}  # they would stand in for the terms
-    counts = d.select("label", F.explode("words").alias("word")).where(~F.col("word").isin(*stems)).groupBy("word").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).where(F.col("p") + F.col("n") >= LEAST_ROWS)
-    odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (neg - F.col("n") + 0.5))
-    error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5) + 1 / (pos - F.col("p") + 0.5) + 1 / (neg - F.col("n") + 0.5))
-    least = (odds - 2 * error).alias("least")
-    chosen = [r["word"] for r in counts.select("word", least).where(F.col("least") >= LEAST_ODDS).orderBy(F.desc("least"), "word").limit(vocabulary).collect()]
-    weighed = chosen + [x for row in IDENTITY for x in row]
-    held = d.select("label", F.array_intersect("words", F.array(*map(F.lit, weighed))).alias("found")).collect()
-    return fit([(r["found"], int(r["label"])) for r in held], chosen)
-
-
-def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
+    d = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", "label", words(F.col("text")).alias("words"))
+    found = d.select("l_id", "label", F.array_sort(buckets(F.col("words"))).alias("idx"), F.array_intersect("words", F.array(*map(F.lit, TERMS))).alias("terms")).toArrow().combine_chunks()
+    label = found["label"].to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
+    positive = int(label.sum())
+    if positive in (0, len(label)):
+        return {}, float(np.log((positive + 1) / (len(label) - positive + 9)))
+    order = np.lexsort((label, found["l_id"].to_numpy()))  # the same sums in whatever order tasks end
+    lists = found["idx"].to_pylist()
+    idx = [np.array(lists[i], np.int64) for i in order]
+    ptr = np.concatenate(([0], np.cumsum([len(x) for x in idx])))
+    terms = found["terms"].to_pylist()
+    return fit(pairs_of(found["l_id"].to_numpy()[order], label[order], np.concatenate(idx), ptr, [terms[i] for i in order]))
+
+
+def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     """doc_id and score of every document: the logistic of the bias and the weights of the words that it holds."""
     weights, bias = model
     weights = {k: v for k, v in weights.items() if abs(v) > 1e-9}
     total = F.lit(bias)
     if weights:
         table = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-        hits = F.array_intersect(words(F.col("text")), F.array(*map(F.lit, weights)))
+        hits = F.array_intersect(buckets(words(F.col("text"))), F.array(*map(F.lit, weights)))
         total = F.aggregate(F.array_sort(hits), F.lit(bias), lambda a, x: a + F.element_at(table, x))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.round(1 / (1 + F.exp(-total)), 9).alias("score"))
 
