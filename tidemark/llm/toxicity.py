@@ -10,10 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import flat_gather
+
 #: Labelled rows that the classifier is fitted on, at most (those with the smallest hash of their id).
 TRAIN_ROWS = 20_000
 #: Buckets of the hashed words and stems, all of which are weighed where LEAST_ROWS labelled rows hold them.
 BUCKETS, LEAST_ROWS = 1 << 16, 3
+#: Features of labelled rows that the driver handles at once.
+BLOCK = 1 << 19
 #: Letters of a stem; it is written with a star.
 STEM = 4
 #: Weights of the counterfactual penalty and of the ridge; the L1 weight is this share of what noise alone would reach.
@@ -68,8 +72,11 @@ class Pairs:
     minus: np.ndarray
     features: int
 
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.label)), np.diff(self.ptr))
+    def blocks(self) -> list[tuple[int, int]]:
+        """Runs of rows of about BLOCK features, which are handled at once."""
+        cuts = np.searchsorted(self.ptr, np.arange(0, int(self.ptr[-1]) + BLOCK, BLOCK), "left")
+        cuts = np.unique(np.concatenate(([0], np.minimum(cuts, len(self.label)), [len(self.label)])))
+        return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
     def share(self) -> np.ndarray:
         """Share of the versions that hold each feature, before minus."""
@@ -79,26 +86,35 @@ class Pairs:
     def loss(self, w: np.ndarray, swap: float, ridge: float) -> tuple[float, np.ndarray]:
         """(mean log loss of both versions + swap / 2 * mean squared change between them + ridge / 2 * |w|^2, gradient); the last weight is the bias."""
         n, weight = len(self.label), np.append(w[:-1], 0.0)
-        sums = np.concatenate(([0.0], np.cumsum(weight[self.idx])))
-        z = (sums[self.ptr[1:]] - sums[self.ptr[:-1]] + w[-1])[:, None] + weight[self.plus] - weight[self.minus]
+        total = np.empty(n)
+        for a, b in self.blocks():
+            at = self.ptr[a : b + 1] - self.ptr[a]
+            sums = np.concatenate(([0.0], np.cumsum(weight[self.idx[self.ptr[a] : self.ptr[b]]])))
+            total[a:b] = sums[at[1:]] - sums[at[:-1]]
+        z = (total + w[-1])[:, None] + weight[self.plus] - weight[self.minus]
         y = self.label[:, None]
         change = z[:, 1] - z[:, 0]
         value = float((np.logaddexp(0, z) - y * z).mean() + swap / 2 * (change * change).mean() + ridge / 2 * (w[:-1] ** 2).sum())
         each = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / (2 * n)
         both = each.sum(1)
         each += swap / n * np.stack((-change, change), 1)
-        g = np.bincount(self.idx, np.repeat(both, np.diff(self.ptr)), self.features + 1).astype(np.float64)
+        g = np.zeros(self.features + 1)
+        for a, b in self.blocks():
+            g += np.bincount(self.idx[self.ptr[a] : self.ptr[b]], np.repeat(both[a:b], np.diff(self.ptr[a : b + 1])), self.features + 1)
         g += np.bincount(self.plus.reshape(-1), each.reshape(-1), self.features + 1) - np.bincount(self.minus.reshape(-1), each.reshape(-1), self.features + 1)
         return value, np.append(g[:-1] + ridge * w[:-1], both.sum())
 
     def only(self, kept: np.ndarray) -> Pairs:
         """The same rows with the features kept, numbered anew."""
-        number = np.full(self.features + 1, len(kept))
+        number = np.full(self.features + 1, len(kept), np.int32)
         number[kept] = np.arange(len(kept))
-        idx, row = number[self.idx], self.rows()
-        some = idx < len(kept)
-        ptr = np.concatenate(([0], np.cumsum(np.bincount(row[some], minlength=len(self.label)))))
-        return Pairs(idx[some], ptr, self.label, number[self.plus], number[self.minus], len(kept))
+        parts, counts = [np.zeros(0, np.int32)], np.zeros(len(self.label), np.int64)
+        for a, b in self.blocks():
+            idx = number[self.idx[self.ptr[a] : self.ptr[b]]]
+            some = idx < len(kept)
+            parts.append(idx[some])
+            counts[a:b] = np.bincount(np.repeat(np.arange(b - a), np.diff(self.ptr[a : b + 1]))[some], minlength=b - a)
+        return Pairs(np.concatenate(parts), np.concatenate(([0], np.cumsum(counts))), self.label, number[self.plus], number[self.minus], len(kept))
 
 
 def descend(pairs: Pairs, scale: np.ndarray, l1: float, swap: float, ridge: float, steps: int, start: np.ndarray | None = None, least: float = 1e-6) -> np.ndarray:
@@ -183,17 +199,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[d
     some = labels.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     some = some.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("label").alias("label"))
     d = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", "label", words(F.col("text")).alias("words"))
-    found = d.select("l_id", "label", F.array_sort(buckets(F.col("words"))).alias("idx"), F.array_intersect("words", F.array(*map(F.lit, TERMS))).alias("terms")).toArrow().combine_chunks()
+    found = d.select("l_id", "label", F.array_sort(buckets(F.col("words"))).alias("idx"), F.array_intersect("words", F.array(*map(F.lit, TERMS))).alias("terms")).toArrow()
     label = found["label"].to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
     positive = int(label.sum())
     if positive in (0, len(label)):
         return {}, float(np.log((positive + 1) / (len(label) - positive + 9)))
     order = np.lexsort((label, found["l_id"].to_numpy()))  # the same sums in whatever order tasks end
-    lists = found["idx"].to_pylist()
-    idx = [np.array(lists[i], np.int64) for i in order]
-    ptr = np.concatenate(([0], np.cumsum([len(x) for x in idx])))
-    terms = found["terms"].to_pylist()
-    return fit(pairs_of(found["l_id"].to_numpy()[order], label[order], np.concatenate(idx), ptr, [terms[i] for i in order]))
+    lists, terms, ids = found["idx"].combine_chunks(), found["terms"].to_pylist(), found["l_id"].to_numpy()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)[order]
+    idx = flat_gather(lists.values.to_numpy(), offsets[:-1][order], sizes)
+    del found, lists
+    return fit(pairs_of(ids[order], label[order], idx, np.concatenate(([0], np.cumsum(sizes))), [terms[i] for i in order]))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
