@@ -56,7 +56,6 @@ def test_pages_labelled_by_hand(model):
     found = [x.split("\n\n") for x in model.extract([p for p, _ in PAGES])]
     hit = sum(len(set(a) & set(b)) for a, (_, b) in zip(found, PAGES))
     f1 = 2 * hit / (sum(map(len, found)) + sum(len(b) for _, b in PAGES))
-    print([(sorted(set(b) - set(a)), sorted(set(a) - set(b))) for a, (_, b) in zip(found, PAGES)])
     assert f1 >= 0.95
 
 

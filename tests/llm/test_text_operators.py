@@ -285,6 +285,44 @@ def test_pii_base_spans(docs, odd):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+#: Sentences written and labelled by hand, none from the templates of the labelled table.
+SAID = [
+    ("Please ring 415-555-2671 after lunch.", ["415-555-2671"]), ("Her mobile 0171 22 33 44 is off", ["0171 22 33 44"]), ("My phone number is (212) 555-0187, thanks", ["(212) 555-0187"]), ("Tel. 312.555.0142", ["312.555.0142"]),
+    ("Fax 646-555-0199 and phone 646-555-0198", ["646-555-0199", "646-555-0198"]), ("Contact 503 555-0111 for help", ["503 555-0111"]), ("She gave her SSN 078-05-1120 to the clerk", ["078-05-1120"]), ("ssn: 219-09-9999", ["219-09-9999"]),
+    ("The social security number 457-55-5462 was leaked", ["457-55-5462"]), ("Deliver to 94107-1234 by noon", []), ("Our order 123-45-6789 never came", []), ("IBAN DE89 3704 0044 0532 0130 00", []), ("transfer it to GB29 1234 6016 1331 9268 19 today", []),
+    ("In 1999-2004 they lived there", []), ("It was 10:45 on 2021-03-04", []), ("Chapter 12 has 340 pages", []), ("The score was 3-2 after 90 minutes", []), ("invoice 555-12-3456 dated 01/02/2020", []), ("Version 3.11.4 of 2023", []), ("Room 204, floor 2", []),
+    ("We sold 1,250,000 units", []), ("prices rose 12.5% in 2010", []), ("ISBN 978-3-16-148410-0", []), ("Flight 447 left at 19:03", []), ("the code 9f86d081884c7d65 was found", []), ("Coordinates 48.8566, 2.3522", []),
+]
+
+
+def test_crf_on_sentences_labelled_by_hand():
+    model = pii.CRF.fit(pii.labelled_table())
+    found = [sorted(t[a:b] for a, _, b in x) for (t, _), x in zip(SAID, pii.scan([t for t, _ in SAID], model))]
+    hit = sum(len(set(a) & set(b)) for a, (_, b) in zip(found, SAID))
+    assert hit >= 0.8 * sum(len(b) for _, b in SAID)  # recall
+    assert hit >= 0.8 * sum(map(len, found))  # precision
+
+
+def test_words_are_read_whole():
+    assert pii.shape("a" * 500 + "1" * 3 + "-" * 40) == "a3" + "-" * 40
+    text = "x" * 5000 + " 12 " + "y" * 5000
+    assert pii._around(text, [(5001, 5003)]) == ("x" * 5000, "y" * 5000)
+    assert pii._around("12", [(0, 2)]) == pii._around("a\n12\nb", [(2, 4)]) == ("", "")
+
+
+def test_crf_inference_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    model = pii.CRF(rng.normal(size=(pii.BUCKETS, k)), rng.normal(size=(k, k)) + pii.CRF.allowed())
+    for long in (1, 2, 4):
+        run = rng.integers(0, pii.BUCKETS, (long, 8))
+        value = lambda path: sum(model.emit[f].sum(0)[y] for f, y in zip(run, path)) + pii.CRF.allowed()[0][path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:]))
+        best = max(itertools.product(range(k), repeat=long), key=value)
+        assert tuple(model.viterbi([run, run[:1]])[0]) == best
+
+
 def test_crf_adds_spans_and_leaves_plain_numbers(odd, empty, docs):
     model = pii.CRF.fit(pii.labelled_table())
     right = total = 0

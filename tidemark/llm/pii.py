@@ -57,20 +57,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+PART = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+
+
 def shape(word: str) -> str:
-    """Runs of digits by their length (9: nine or more), of letters by one letter; other characters stay. At most 24 parts."""
-    parts = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", word[:200], re.S):
-        x = m[0]
-        parts.append(str(min(9, len(x))) if "0" <= x[0] <= "9" else "a" if x[0].isalpha() else x[0])
-    return "".join(parts[:24])
+    """Runs of digits by their length (9: nine or more), of letters by one letter; other characters stay."""
+    return PART.sub(lambda m: str(min(9, len(m[0]))) if "0" <= m[0][0] <= "9" else "a" if m[0][0].isalpha() else m[0], word)
 
 
 def features(before: str, word: str, after: str) -> np.ndarray:
     """Buckets of a token's features: its shape, its neighbours' and what it starts and ends with."""
     s = shape(word)
     digits = sum(c.isdigit() for c in word)
-    names = (f"s={s}", f"d={min(digits, 16)}", f"p={shape(before)}", f"n={shape(after)}", f"ps={shape(before)}|{s}", f"sn={s}|{shape(after)}", f"e={s[:1]}{s[-1:]}", f"w={before.lower().strip('.,:')[:12]}")
+    names = (f"s={s}", f"d={min(digits, 16)}", f"p={shape(before)}", f"n={shape(after)}", f"ps={shape(before)}|{s}", f"sn={s}|{shape(after)}", f"e={s[:1]}{s[-1:]}", f"w={before.lower().strip('.,:#')}")
     return np.array([zlib.crc32(x.encode()) % BUCKETS for x in names], np.int64)
 
 
@@ -78,17 +77,23 @@ def features(before: str, word: str, after: str) -> np.ndarray:
 SENTENCES = (
     "call me on {phone} tomorrow", "phone {phone} for the desk", "tel {phone} or write", "reach us at {phone} now", "mobile {phone} fax {phone}", "text {phone} before noon", "his number is {phone} as said",
     "ssn {id} is on file", "the id {id} was issued", "number {id} on the card", "social security {id} of the owner", "tax id {id} given",
+    "order {idlike} was shipped", "invoice {idlike} is due", "part {idlike} fits", "ref {idlike} of the file", "item {idlike} sold", "lives in {zip} since", "zip {zip} there", "town {zip}", "iban {iban} at the bank", "pay to {iban} now", "account {iban}", "from {range} we stayed", "model {idlike} runs", "ticket {phonelike} is open", "batch {phonelike} was lost", "serial {phonelike}",
     "the total was {plain} last year", "in {plain} we met", "page {plain} of the book", "{plain} people came", "version {plain} is out", "it cost {plain} euros", "see {plain} and {plain} there", "a code {plain} was found", "{plain}",
 )
 
 
-def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled_table(rows: int = 1200, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """Small table of (tokens, labels), from templates with numbers drawn by a fixed seed."""
     rnd, out = random.Random(seed), []
     d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     make = {
         "phone": lambda: rnd.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)} {d(3)}-{d(4)}"]),
         "id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "idlike": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "phonelike": lambda: rnd.choice([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)}-{d(4)}"]),
+        "zip": lambda: rnd.choice([f"{d(5)}-{d(4)}", d(5), f"{d(5)}-{d(3)}"]),
+        "iban": lambda: rnd.choice(["DE", "FR", "GB", "ES", "NL"]) + d(2) + " " + " ".join(d(4) for _ in range(rnd.randint(3, 5))) + rnd.choice(["", f" {d(2)}", f" {d(1)}"]),
+        "range": lambda: rnd.choice([f"{d(4)}-{d(4)}", f"{d(2)}-{d(2)}", f"{d(3)}-{d(3)}"]),
         "plain": lambda: rnd.choice([d(rnd.randint(1, 14)), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(2)}:{d(2)}", f"{d(1)}.{d(2)}", f"{d(2)},{d(3)}", f"{d(3)}$$$", f"v{d(1)}.{d(1)}.{d(2)}", f"a{d(3)}b{d(8)}f", f"{d(3)}%", f"{d(4)} {d(4)}", f"{d(3)}-{d(3)}", f"{d(2)} {d(2)}", f"{d(5)} {d(3)}", "%0*x" % (n := rnd.randint(8, 40), rnd.getrandbits(4 * n)), "%0*x" % (16, rnd.getrandbits(64))]),
     }
     for i in range(rows):
@@ -97,7 +102,7 @@ def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[list[str], list
             kind = part.strip("{}")
             new = make[kind]().split() if kind != part else [part]
             tokens += new
-            labels += ["O"] * len(new) if kind == part or kind == "plain" else [f"{'I' if j else 'B'}-{kind}" for j in range(len(new))]
+            labels += ["O"] * len(new) if kind == part or kind not in FOUND else [f"{'I' if j else 'B'}-{kind}" for j in range(len(new))]
             if kind != part and rnd.random() < 0.2:
                 tokens[-1] += rnd.choice(".,")
         out.append((tokens, labels))
@@ -221,10 +226,23 @@ def crf_runs(text: str) -> list[list[tuple[int, int]]]:
     return runs
 
 
+def _last_word(text: str, end: int) -> str:
+    """What stands before end without white space, found by steps back that double."""
+    size = 32
+    while True:
+        part = text[max(0, end - size) : end]
+        at = max(map(part.rfind, " \n\t\r\f\v"))
+        if at >= 0 or size >= end:
+            return part[at + 1 :]
+        size *= 2
+
+
 def _around(text: str, run: list[tuple[int, int]]) -> tuple[str, str]:
-    before = text[max(0, run[0][0] - 40) : run[0][0]]
-    after = text[run[-1][1] : run[-1][1] + 40]
-    return (before.split(" ")[-2] if before[-1:] == " " and len(before) > 1 else ""), (after.split(" ")[1] if after[:1] == " " and len(after) > 1 else "")
+    """The words before and after a run that one space parts from it; without one, none."""
+    start, end = run[0][0] - 1, run[-1][1] + 1
+    before = _last_word(text, start) if start > 0 and text[start] == " " else ""
+    after = text[end : SPACE_OR_END.search(text, end).start()] if text[end - 1 : end] == " " else ""
+    return before, after
 
 
 def scan(many: list[str], model: CRF) -> list[list[tuple[int, int, int]]]:
@@ -260,8 +278,9 @@ def personal_data(docs: DataFrame, table: list[tuple[list[str], list[str]]] | No
 
     n_ columns and base_sha256 are of the pattern spans; spans adds what the CRF, trained here from a small labelled table,
     finds besides them. Null and empty texts have none; equal texts get equal rows; repeated rows stay; other columns are
-    dropped; an empty table gives an empty result. A word with digits is read whole whatever its length; its shape keeps
-    24 parts. Memory is bounded by one run of rows and one Viterbi batch.
+    dropped; an empty table gives an empty result. Words are read whole whatever their length. The CRF reads runs of words
+    with digits and the words beside them, and finds phone numbers and personal ids there; names and addresses are not among
+    its kinds. Memory is bounded by one run of rows and one Viterbi batch.
     """
     model = CRF.fit(table or labelled_table())
     kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
