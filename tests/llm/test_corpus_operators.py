@@ -135,8 +135,9 @@ def near_copies(rnd, n, words):
     return out
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 400])
-def test_jaccard_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block, frequent", [(jaccard.BLOCK, jaccard.FREQUENT), (400, jaccard.FREQUENT), (jaccard.BLOCK, 3)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, block, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # few frequent elements: the order changes, no link does
     rnd = random.Random(11)
     texts = ["", "  ", "a", "A", "a b", "a b c d", "a b c d e", "a b c d e f"]
     for words in (6, 7, 8, 9, 10, 12, 20, 60, 200):
@@ -172,6 +173,24 @@ def test_search_is_exact(monkeypatch, heap):
         assert dict(zip(found.tolist(), overlap.tolist())) == {y: n for y, n in expected.items() if n >= jaccard.least_overlap(len(sets[x]))}
 
 
+@pytest.mark.parametrize("at", [1, 50, jaccard.COUNT_AT])
+def test_frequent_elements_are_counted_in_runs(monkeypatch, at):
+    """Runs of any size report each document once; only elements that a run holds LOCAL times are reported by it."""
+    monkeypatch.setattr(jaccard, "COUNT_AT", at)
+    texts = ["a b c d e f"] * 5 + [f"x{i} a b c d e" for i in range(20)] + [""]
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(range(len(texts))), jaccard.pa.array(texts)], ["doc_id", "text"])
+    rows = [r for out in jaccard._describe(iter([batch, batch]), 7) for r in out.to_pylist()]
+    assert [r["doc_id"] for r in rows if r["doc_id"] is not None] == [*range(len(texts))] * 2
+    counts = Counter()
+    for r in rows:
+        if r["element"] is not None:
+            assert r["count"] >= jaccard.LOCAL
+            counts[r["element"]] += r["count"]
+    assert max(counts.values(), default=0) <= 2 * 25
+    if at == jaccard.COUNT_AT:
+        assert max(counts.values()) == 2 * 25  # a b c d e in every text but the empty one
+
+
 def test_merge_skip_is_exact():
     rnd = random.Random(2)
     for _ in range(300):

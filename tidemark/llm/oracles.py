@@ -32,6 +32,18 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 FROM d LEFT JOIN t USING (row) GROUP BY d.row, d.doc_id
 """
 
+#: Every window of 200 bytes by its MD5, as hexadecimal text; quick on small tables alone.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, greatest(n - 199, 0))) t(i)),
+k AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+s AS (SELECT row, i, CASE WHEN i - lag(i) OVER (PARTITION BY row ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM k),
+g AS (SELECT row, min(i) AS low, max(i) + 200 AS high FROM (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS g FROM s) GROUP BY row, g),
+e AS (SELECT row, low, high, coalesce(lag(high) OVER (PARTITION BY row ORDER BY low), 0) AS before FROM g),
+r AS (SELECT e.row, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || any_value(substr(h, 2 * m + 1)) AS kept FROM e JOIN d USING (row) JOIN (SELECT row, max(high) AS m FROM g GROUP BY row) USING (row) GROUP BY e.row)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (row)
+"""
+
 JACCARD = """
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:least(i + 4, len(w))], ' ') AS shingle FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) WHERE len(w) > 0),
@@ -51,4 +63,4 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
  SELECT page_id, url, array_to_string(list_filter([trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) FOR b IN string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>')], lambda x: x <> ''), chr(10) || chr(10)) AS text FROM pages)
 """
 
-ORACLES = {"op4_secrets": SECRETS, "op5_jaccard": JACCARD, "op10_html": PAGES}
+ORACLES = {"op2_suffixes": REPEATS, "op4_secrets": SECRETS, "op5_jaccard": JACCARD, "op10_html": PAGES}
