@@ -186,6 +186,11 @@ def test_parity():
     assert [s.severity for s in easy.statuses] == ["GREEN"]
     assert A.assess_parity(side("l", left, read_uncommitted=True), side("r", left), AS_OF).statuses[0].reason == "parity_prereq_read_uncommitted"
     assert A.assess_parity(side("l", left), None, AS_OF).statuses[0].reason == "parity_prereq_uniqueness"
+    with pytest.raises(ValueError):
+        A.assess_parity(side("l", left, parity_with="x"), side("r", left), AS_OF)
+    one, two = side("l", left), side("r", left)
+    one.null_load, two.null_load = 7, 2
+    assert A.assess_parity(one, two, AS_OF).null_load == (7, 2)
 
 
 def frame(spark, rows, kind="event_time timestamp_ntz, load_time timestamp_ntz, k long"):
@@ -212,6 +217,7 @@ def test_cell_cap(spark):
     C.check_cap(C.canonical_cells(staged), 5)
     with pytest.raises(C.CellCapExceeded):
         C.check_cap(C.canonical_cells(staged), 4)
+    assert C.bounded(C.canonical_cells(staged), 1).count() == len(C.SETS) + 2 and C.bounded(C.canonical_cells(staged), 5).count() == C.canonical_cells(staged).count()
 
 
 def test_keys_with_nulls_are_counted(spark):
@@ -462,6 +468,9 @@ def test_command_line_lifecycle(spark, world_dir, capsys, tmp_path):
     assert main(["run", "--config", conf, "--as-of", "2024-09-15", "--run-id", "one"], spark) == 1  # another identity
     assert main(["run", "--config", conf, "--window", "3d"], spark) == 1
     assert main(["report", "--config", conf, "--out", str(tmp_path / "r")], spark) == 0
+    assert main(["report", "--config", conf, "--probe", "lines", "--out", str(tmp_path / "l")], spark) == 0
+    assert "<h2>lines</h2>" in (tmp_path / "l/report.html").read_text() and "replica" not in (tmp_path / "l/report.html").read_text()
+    assert main(["report", "--config", conf, "--probe", "none"], spark) == 1
     assert main(["publish", "--config", conf, "--out", str(tmp_path / "p")], spark) == 0
     page = (tmp_path / "p/README.md").read_text()
     assert "orders" in page and "manual runs only" in page and json.loads((tmp_path / "p/published.json").read_text())["run_id"] == "one"

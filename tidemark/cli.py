@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from tidemark.config import Config, ConfigError, compose, digest, load_config
 from tidemark.functions.times import extraction_start, next_month, normal_watermark
+from tidemark.plans.measures import probe_slice
 from tidemark.plans.present import dashboard_rows, expected_by, markdown, report_html
 from tidemark.plans.probe import run_all
 from tidemark.sources.deliver import DeliveryError, deliver, guard, marked
@@ -39,8 +40,10 @@ def load(paths: list[str]) -> Config:
     return compose([load_config(p) for p in paths])
 
 
-def tables_of(store: ParquetStore, run_id: str) -> dict[str, list[dict]]:
-    return {t: [r.asDict() for r in store.read_table(run_id, t).collect()] for t in TABLES}
+def tables_of(store: ParquetStore, run_id: str, probe: str | None = None) -> dict[str, list[dict]]:
+    """Rows of a run's tables, those of one probe where it is given."""
+    frames = {t: store.read_table(run_id, t) for t in TABLES}
+    return {t: [r.asDict() for r in (probe_slice(d, probe) if probe else d).collect()] for t, d in frames.items()}
 
 
 def latest(store: ParquetStore, run_id: str | None) -> str:
@@ -135,7 +138,10 @@ def cmd_report(args: argparse.Namespace, spark: SparkSession) -> int:
     config, store, run_id = _chosen(args, spark)
     out = Path(args.out)
     out.mkdir(parents=True, exist_ok=True)
-    page = report_html(tables_of(store, run_id), f"Run {run_id}", hidden(config), config.probes, config.source, facts_of(config, store.manifest(run_id)))
+    probes = tuple(p for p in config.probes if args.probe in (None, p.name))
+    if not probes:
+        raise ConfigError(f"no probe is named {args.probe}")
+    page = report_html(tables_of(store, run_id, args.probe), f"Run {run_id}", hidden(config), probes, config.source, facts_of(config, store.manifest(run_id)))
     (out / "report.html").write_text(page, encoding="utf-8")
     return 0
 
@@ -187,6 +193,8 @@ def parser() -> argparse.ArgumentParser:
         c = add(name, f)
         c.add_argument("--run-id")
         c.add_argument("--out", default="site")
+        if name == "report":
+            c.add_argument("--probe")
     for c in (run, c):
         c.add_argument("--deliver", action="store_true")
         c.add_argument("--branch", default="main")

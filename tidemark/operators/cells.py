@@ -137,6 +137,11 @@ def dual_result_cells(cells: DataFrame) -> DataFrame:
     return cells.where((gid == DUAL_GLOBAL) | ((gid == DUAL_MONTH_LAG) & F.col("event_month").isNotNull()) | ((gid == DUAL_DELTA) & F.col("delta_day").isNotNull()))
 
 
+def bounded(cells: DataFrame, cap: int) -> DataFrame:
+    """The cells with a bound on their number that no set within its cap reaches, so a result can never grow beyond it."""
+    return cells.limit(cap * (len(SETS) + 1) + 1)
+
+
 def check_cap(cells: DataFrame, cap: int) -> None:
     """Raise where a set has more cells than cap, before anything reaches the driver."""
     over = cells.groupBy("grouping_id").count().where(F.col("count") > cap).head(1)

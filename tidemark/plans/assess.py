@@ -298,8 +298,11 @@ def assess_dual(cells: list[dict], world: dict, probe: Probe) -> DualLag:
 
 @dataclass
 class Parity:
+    """Months that differ; rows without a load time are told beside them and are in no difference."""
+
     statuses: list[Status]
     rows: list[dict] = field(default_factory=list)
+    null_load: tuple[int, int] = (0, 0)
 
 
 @dataclass
@@ -310,6 +313,7 @@ class Side:
     cells: list[dict]
     completion: Completion
     duplicates: int | None
+    null_load: int = 0
 
 
 def month_counts(cells: list[dict]) -> dict[date, int]:
@@ -322,11 +326,15 @@ def month_counts(cells: list[dict]) -> dict[date, int]:
 
 
 def assess_parity(left: Side, right: Side | None, as_of: datetime) -> Parity:
+    null_load = (left.null_load, right.null_load if right else 0)
+
     def refuse(reason: str, detail: str) -> Parity:
-        return Parity([Status("parity", "INDETERMINATE", reason, detail)])
+        return Parity([Status("parity", "INDETERMINATE", reason, detail)], [], null_load)
 
     if right is None:
         return refuse("parity_prereq_uniqueness", "the partner has no result")
+    if left.probe.parity_with not in (None, right.probe.name):
+        raise ValueError(f"{left.probe.name} names {left.probe.parity_with}, not {right.probe.name}")
     for s in (left, right):
         if s.probe.read_uncommitted:
             return refuse("parity_prereq_read_uncommitted", s.probe.name)
@@ -337,11 +345,11 @@ def assess_parity(left: Side, right: Side | None, as_of: datetime) -> Parity:
         if s.completion.excess >= s.probe.analysis.negative_lag_red_fraction:
             return refuse("parity_prereq_negative_lag", s.probe.name)
     if left.completion.horizon is None or right.completion.horizon is None:
-        return Parity([Status("parity", "INSUFFICIENT_HISTORY", "insufficient_mature_months", "a side has no mature months")])
+        return Parity([Status("parity", "INSUFFICIENT_HISTORY", "insufficient_mature_months", "a side has no mature months")], [], null_load)
     edge = normal_watermark(as_of) - timedelta(days=max(left.completion.horizon, right.completion.horizon))
     counts = [{m: n for m, n in month_counts(s.cells).items() if next_month(m) <= edge} for s in (left, right)]
     months = sorted(set(counts[0]) | set(counts[1]))
-    out, tolerance = Parity([]), left.probe.analysis.parity_tolerance
+    out, tolerance = Parity([], [], null_load), left.probe.analysis.parity_tolerance
     for m in months:
         x, y = counts[0].get(m), counts[1].get(m)
         diff = (x or 0) - (y or 0)
@@ -349,7 +357,7 @@ def assess_parity(left: Side, right: Side | None, as_of: datetime) -> Parity:
         out.rows.append({"month": m, "partner": right.probe.name, "left_count": x, "right_count": y, "diff": diff, "verdict": verdict})
         if verdict != "match":
             out.statuses.append(Status("parity", "RED", "parity_mismatch" if verdict == "mismatch" else "parity_one_sided_month", f"{m:%Y-%m}: {verdict} {diff:+d}"))
-    return Parity(out.statuses or [green("parity")], out.rows)
+    return Parity(out.statuses or [green("parity")], out.rows, null_load)
 
 
 def p95_text(summary: tuple[float, float | None] | None, cap: int | None, months: bool = False) -> str:

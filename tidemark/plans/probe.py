@@ -63,7 +63,7 @@ def _pass(cells: DataFrame, world: Callable, result: Callable, cap: int, ledger:
     cells = ledger.enter(cells).persist()
     try:
         C.check_cap(cells, cap)
-        rows = [r.asDict() for r in result(cells).collect()]
+        rows = [r.asDict() for r in C.bounded(result(cells), cap).collect()]
         return rows, world(cells).first().asDict()
     finally:
         cells.unpersist()
@@ -164,7 +164,7 @@ def run_probe(spark: SparkSession, source: dict, probe: Probe, as_of: datetime,
         tables["dual_percentiles"] = [{"probe": name, "month": _text(m), "pct": p, "days": d, "over_cap": d is None, "lag_resolution": probe.lag_resolution} for m, row in lag.days.items() if in_window(m, window) for p, d in row.items()]
         tables["dual_delta"] = [{"probe": name, "delta_day": d, "row_count": n} for d, n in sorted(lag.delta.items())]
     tables["compare_mismatch"] = [{"probe": name, "month": _text(m), "mismatches": n} for m, n in done.mismatches.items() if in_window(m, window)]
-    return Result(probe, statuses, tables, A.Side(probe, cells, done, volume.duplicates))
+    return Result(probe, statuses, tables, A.Side(probe, cells, done, volume.duplicates, world["n_null_load_time_only"]))
 
 
 def run_all(spark: SparkSession, source: dict, probes: tuple[Probe, ...], as_of: datetime, window: tuple[date, date] | None = None) -> tuple[dict[str, list[dict]], int]:
