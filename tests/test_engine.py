@@ -18,6 +18,7 @@ from tidemark.plans import assess as A
 from tidemark.plans import present as P
 from tidemark.plans.probe import Ledger, ScanBudgetExceeded, run_all, run_probe, scans
 from tidemark.sources.deliver import deliver, git
+from tidemark.sources.jdbc_store import JdbcStore
 from tidemark.sources.store import TABLES, ParquetStore, Run, StoreError
 from tidemark.sources.tables import candidates, column_types, draft_config, list_tables, match_roles, table_exists
 from tidemark.status import Status, exit_code, worst
@@ -431,13 +432,8 @@ def test_join_is_reconciled(spark, tmp_path):
 
 
 def test_tables_of_a_database(spark):
-    """Embedded Derby: a missing table is told apart from a source that cannot be reached."""
-    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    try:
-        spark._jvm.java.lang.Class.forName(driver)
-    except Exception:
-        pytest.skip("no embedded database")
-    source = {"kind": "jdbc", "options": {"url": "jdbc:derby:memory:probe;create=true", "driver": driver}, "tables_query": "SELECT TABLENAME AS NAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'"}
+    """A missing table is told apart from a source that cannot be reached."""
+    source = {"kind": "jdbc", "options": database(spark, "probe"), "tables_query": "SELECT TABLENAME AS NAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T'"}
     spark.createDataFrame([(1, AS_OF)], "k int, load_time timestamp").write.format("jdbc").options(**source["options"]).option("dbtable", "arrivals").mode("overwrite").save()
     assert table_exists(spark, source, "arrivals") and not table_exists(spark, source, "nothing")
     assert list_tables(spark, source) == ["ARRIVALS"]
@@ -486,13 +482,49 @@ def test_command_line_lifecycle(spark, world_dir, capsys, tmp_path):
     assert 'event_time: "event_time"' in capsys.readouterr().out
 
 
-def test_store_claims_and_prune(spark, tmp_path):
-    store = ParquetStore(spark, tmp_path)
+def database(spark, name):
+    """Options of an embedded database in memory, where there is one."""
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded database")
+    return {"url": f"jdbc:derby:memory:{name};create=true", "driver": driver}
+
+
+def test_catalog_source(spark):
+    source = {"kind": "catalog", "database": "probed"}
+    spark.sql("CREATE DATABASE IF NOT EXISTS probed")
+    frame(spark, [(AS_OF, AS_OF, 1)]).write.mode("overwrite").saveAsTable("probed.arrivals")
+    assert list_tables(spark, source) == ["arrivals"] and table_exists(spark, source, "arrivals") and not table_exists(spark, source, "nothing")
+    found = run_probe(spark, source, Probe("x", "arrivals", "load_time", event_time="event_time"), AS_OF)
+    assert found.tables["population_buckets"][0]["row_count"] == 1
+    assert reasons(run_probe(spark, source, Probe("x", "nothing", "load_time", event_time="event_time"), AS_OF)) == [("missing_table", "RED")]
+    spark.sql("DROP DATABASE probed CASCADE")
+
+
+def test_run_into_a_database(spark, world_dir, tmp_path):
+    raw = json.loads((world_dir / "c.json").read_text())
+    raw["store"] = {"backend": "jdbc", "options": database(spark, "runs")}
+    raw["probes"] = [p for p in raw["probes"] if p["name"] == "lines"]
+    (tmp_path / "c.json").write_text(json.dumps(raw))
+    conf = str(tmp_path / "c.json")
+    assert main(["run", "--config", conf, "--as-of", "2025-07-01", "--run-id", "one", "--out", str(tmp_path / "p")], spark) in (0, 2)
+    assert "lines" in (tmp_path / "p/README.md").read_text()
+    with pytest.raises(ConfigError):
+        parse_config(raw | {"store": {"backend": "jdbc"}})
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jdbc"])
+def test_store_claims_and_prune(spark, tmp_path, kind):
+    store = ParquetStore(spark, tmp_path) if kind == "parquet" else JdbcStore(spark, database(spark, "store"))
     run = Run("r1", "2026-01-01", None, None, "d", "1")
     store.register(run)
     first, second = store.begin(run), store.begin(run)
     with pytest.raises(StoreError):
         store.write_table(run, first, "statuses", [])
+    for name in TABLES:
+        store.write_table(run, second, name, [])
     store.write_table(run, second, "statuses", [{"probe": "p", "check": "volume", "severity": "GREEN"}])
     store.commit(run, second, {})
     assert store.list_runs() == ["r1"] and store.read_table("r1", "statuses").count() == 1
@@ -500,6 +532,10 @@ def test_store_claims_and_prune(spark, tmp_path):
         store.begin(run)
     with pytest.raises(StoreError):
         Run("../x", "a", None, None, "d", "1")
+    store.record_stage("r1", "render", {"out": "x"})
+    assert store.stages("r1") == ["analysis", "render"] and store.registered("r1") == run and store.manifest("r1")["run"]["run_id"] == "r1"
+    with pytest.raises(StoreError):
+        store.register(Run("r1", "2026-01-02", None, None, "d", "1"))
     for i in (2, 3):
         r = Run(f"r{i}", "2026-01-01", None, None, "d", str(i))
         store.register(r)

@@ -17,6 +17,7 @@ from tidemark.plans.measures import probe_slice
 from tidemark.plans.present import dashboard_rows, expected_by, markdown, report_html
 from tidemark.plans.probe import run_all
 from tidemark.sources.deliver import DeliveryError, deliver, guard, marked
+from tidemark.sources.jdbc_store import JdbcStore
 from tidemark.sources.store import TABLES, ParquetStore, Run, StoreError
 from tidemark.sources.tables import draft_config, list_tables, read_table
 
@@ -40,13 +41,17 @@ def load(paths: list[str]) -> Config:
     return compose([load_config(p) for p in paths])
 
 
-def tables_of(store: ParquetStore, run_id: str, probe: str | None = None) -> dict[str, list[dict]]:
+def open_store(spark: SparkSession, config: Config) -> ParquetStore | JdbcStore:
+    return JdbcStore(spark, dict(config.store_options)) if config.store_options else ParquetStore(spark, config.store_path)
+
+
+def tables_of(store: ParquetStore | JdbcStore, run_id: str, probe: str | None = None) -> dict[str, list[dict]]:
     """Rows of a run's tables, those of one probe where it is given."""
     frames = {t: store.read_table(run_id, t) for t in TABLES}
     return {t: [r.asDict() for r in (probe_slice(d, probe) if probe else d).collect()] for t, d in frames.items()}
 
 
-def latest(store: ParquetStore, run_id: str | None) -> str:
+def latest(store: ParquetStore | JdbcStore, run_id: str | None) -> str:
     if run_id:
         return run_id
     if not (runs := store.list_runs()):
@@ -54,7 +59,7 @@ def latest(store: ParquetStore, run_id: str | None) -> str:
     return runs[-1]
 
 
-def matching(store: ParquetStore, run_id: str, config: Config) -> None:
+def matching(store: ParquetStore | JdbcStore, run_id: str, config: Config) -> None:
     if store.manifest(run_id)["run"]["config_digest"] != digest(config):
         raise StoreError(f"run {run_id} was made with another configuration")
 
@@ -62,7 +67,7 @@ def matching(store: ParquetStore, run_id: str, config: Config) -> None:
 def cmd_run(args: argparse.Namespace, spark: SparkSession) -> int:
     """Analysis, then with --out the pages, then with --deliver their delivery; a resumed run goes on after its last stage."""
     config = load(args.config)
-    store = ParquetStore(spark, config.store_path)
+    store = open_store(spark, config)
     known = store.registered(args.resume_from) if args.resume_from else None
     if args.resume_from and known is None:
         raise StoreError(f"run {args.resume_from} is not registered")
@@ -109,7 +114,7 @@ def facts_of(config: Config, manifest: dict) -> dict[str, str]:
     return {"Generated": run["started_at"], "Run": run["run_id"], "As of": run["as_of"], "Window": window, "Next update expected by": expected_by(config.campaign, run["started_at"])}
 
 
-def render(config: Config, store: ParquetStore, run_id: str, out: Path) -> None:
+def render(config: Config, store: ParquetStore | JdbcStore, run_id: str, out: Path) -> None:
     """The dashboard, its report and the mark of its run, unless the folder holds a later run."""
     tables, manifest = tables_of(store, run_id), store.manifest(run_id)
     run_at, facts = manifest["run"]["started_at"], facts_of(config, manifest)
@@ -121,14 +126,14 @@ def render(config: Config, store: ParquetStore, run_id: str, out: Path) -> None:
     store.record_stage(run_id, "render", {"out": str(out)})
 
 
-def publish(config: Config, store: ParquetStore, run_id: str, out: Path, branch: str) -> None:
+def publish(config: Config, store: ParquetStore | JdbcStore, run_id: str, out: Path, branch: str) -> None:
     commits = deliver(out, config.remotes, branch, run_id, store.manifest(run_id)["run"]["started_at"])
     store.record_stage(run_id, "publish", {"branch": branch, "commits": commits})
 
 
-def _chosen(args: argparse.Namespace, spark: SparkSession) -> tuple[Config, ParquetStore, str]:
+def _chosen(args: argparse.Namespace, spark: SparkSession) -> tuple[Config, ParquetStore | JdbcStore, str]:
     config = load(args.config)
-    store = ParquetStore(spark, config.store_path)
+    store = open_store(spark, config)
     run_id = latest(store, args.run_id)
     matching(store, run_id, config)
     return config, store, run_id
@@ -163,7 +168,7 @@ def cmd_discover(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def cmd_abort(args: argparse.Namespace, spark: SparkSession) -> int:
-    ParquetStore(spark, load(args.config).store_path).abort(args.run_id)
+    open_store(spark, load(args.config)).abort(args.run_id)
     return 0
 
 

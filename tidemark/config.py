@@ -127,6 +127,7 @@ class Config:
     probes: tuple[Probe, ...]
     source: dict[str, Any]
     store_path: str
+    store_options: tuple[tuple[str, str], ...] = ()
     retention: int | None = None
     campaign: Campaign = field(default_factory=Campaign)
     remotes: tuple[str, ...] = ()
@@ -184,9 +185,12 @@ def parse_config(raw: dict) -> Config:
     if not probes:
         raise ConfigError("no probes")
     store = raw.get("store", {})
-    if store.get("backend", "parquet") != "parquet":
-        raise ConfigError("the store's backend is parquet")
-    return Config(tuple(probes), raw.get("source", {}), store.get("path", "runs"), store.get("retention"), Campaign(**_only(Campaign, raw.get("campaign", {}), "campaign")), tuple(raw.get("delivery", {}).get("remotes", ())))
+    backend, options = store.get("backend", "parquet"), store.get("options", {})
+    if backend not in ("parquet", "jdbc"):
+        raise ConfigError("the store's backend is parquet or jdbc")
+    if backend == "jdbc" and not {"url", "driver"} <= set(options):
+        raise ConfigError("a jdbc store needs the options url and driver")
+    return Config(tuple(probes), raw.get("source", {}), store.get("path", "runs"), tuple(sorted(options.items())) if backend == "jdbc" else (), store.get("retention"), Campaign(**_only(Campaign, raw.get("campaign", {}), "campaign")), tuple(raw.get("delivery", {}).get("remotes", ())))
 
 
 def load_config(path: str | Path, env: dict[str, str] | None = None) -> Config:
@@ -202,7 +206,7 @@ def load_config(path: str | Path, env: dict[str, str] | None = None) -> Config:
 def compose(configs: list[Config]) -> Config:
     """One campaign of several files, which must share store, schedule and delivery."""
     first = configs[0]
-    if any((c.store_path, c.campaign, c.remotes) != (first.store_path, first.campaign, first.remotes) for c in configs):
+    if any((c.store_path, c.store_options, c.campaign, c.remotes) != (first.store_path, first.store_options, first.campaign, first.remotes) for c in configs):
         raise ConfigError("configs of one campaign share store, schedule and delivery")
     return dataclasses.replace(first, probes=tuple(p for c in configs for p in c.probes))
 
