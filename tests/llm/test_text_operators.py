@@ -406,6 +406,25 @@ def test_buckets_and_pairs(spark):
     assert all(a != b and any({int(a), int(b)} <= r for r in rows) for a, b in placed.plus) and (placed.minus == toxicity.BUCKETS).all()
 
 
+def test_the_labelled_sample_is_bounded(spark, monkeypatch):
+    """By documents and by their features together, in the order of a hash of their ids; repeated rows count once."""
+    rows = [(i, f"{'idiot' if i % 2 else 'kind'} w{chr(97 + i % 20)} people {'muslim' if i % 3 else ''}") for i in range(80)]
+    d = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda pairs: seen.append(pairs) or ({}, 0.0))
+    order = [r["doc_id"] for r in d.select("doc_id").distinct().orderBy(toxicity.F.xxhash64("doc_id")).collect()]
+    for n, features in ((80, 10**6), (30, 10**6), (80, 100)):
+        toxicity.train(d, y, n, features)
+        pairs = seen.pop()
+        sizes = np.diff(pairs.ptr)
+        assert len(pairs.label) <= n and sizes.sum() <= features
+        if features == 10**6:
+            assert pairs.label.tolist() == [i % 2 for i in sorted(order[:n])]
+        else:
+            assert sizes.sum() > 100 - 10 and pairs.label.tolist() == [i % 2 for i in sorted(order[: len(sizes)])]
+
+
 def test_toxicity_on_documents(spark):
     """Held-out rows alone; labels are noisy, so recall is held against what the words allow."""
     sf = "/root/testdata/sf0.01"

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_gather
+from tidemark.llm.common import flat_gather, staged
 
-#: Labelled rows that the classifier is fitted on, at most (those with the smallest hash of their id).
-TRAIN_ROWS = 20_000
+#: Labelled documents that the classifier is fitted on, and features that they hold together, at most: those with the smallest
+#: hash of their id. What the driver gets is bounded by both.
+TRAIN_ROWS, TRAIN_FEATURES = 20_000, 16_000_000
 #: Buckets of the hashed words and stems, all of which are weighed where LEAST_ROWS labelled rows hold them.
 BUCKETS, LEAST_ROWS = 1 << 16, 3
 #: Features of labelled rows that the driver handles at once.
@@ -191,15 +192,20 @@ def pairs_of(ids: np.ndarray, label: np.ndarray, idx: np.ndarray, ptr: np.ndarra
     return Pairs(idx, ptr, label.astype(np.float64), plus, minus, BUCKETS)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> tuple[dict[int, float], float]:
     """Fit on at most rows labelled documents: (doc_id, label 0/1) rows of labels whose document docs holds.
 
-    Only those documents are split into words; the driver gets their buckets, of which there are at most BUCKETS a row.
+    Only those documents are split into words, once each however many rows repeat them; the driver gets their buckets.
     """
     some = labels.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     some = some.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("label").alias("label"))
     d = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("l_id", "label", words(F.col("text")).alias("words"))
-    found = d.select("l_id", "label", F.array_sort(buckets(F.col("words"))).alias("idx"), F.array_intersect("words", F.array(*map(F.lit, TERMS))).alias("terms")).toArrow()
+    held = F.struct(F.array_sort(buckets(F.col("words"))).alias("idx"), F.array_sort(F.array_intersect("words", F.array(*map(F.lit, TERMS)))).alias("terms"))
+    d = staged(d.select("l_id", "label", held.alias("held")).groupBy("l_id", "label").agg(F.min("held").alias("held")), "labelled")
+    # a window over ids and sizes alone, of which there are rows at most
+    so_far = F.sum(F.size("held.idx")).over(Window.orderBy(F.xxhash64("l_id"), "l_id"))
+    kept = d.select("l_id", so_far.alias("so_far")).where(F.col("so_far") <= features).select("l_id")
+    found = d.join(F.broadcast(kept), "l_id", "left_semi").select("l_id", "label", "held.idx", "held.terms").toArrow()
     label = found["label"].to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
     positive = int(label.sum())
     if positive in (0, len(label)):
