@@ -66,7 +66,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow with batches of at most BATCH_BYTES, after which a worker gives its free memory back."""
+    """df.mapInArrow with batches of at most BATCH_BYTES, after which a worker gives its free memory back.
+
+    Spark reads the bound on batches when the plan runs, so the session keeps the smaller value.
+    """
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).rstrip("b")
